@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 
 
@@ -15,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import BASE, quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -33,9 +40,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op7_word_bpe, op8_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op7_word_bpe, op8_token_files, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": sql.quality_rules(), "op10_source_mixing": sql.source_mixing()}

@@ -36,7 +36,7 @@ NO_ID = -(2**63)
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, dtype: str) -> PieceEncoder:
-    return PieceEncoder(path, lambda ids: array(_CODES[dtype], ids).tobytes())
+    return PieceEncoder(path, lambda ids: array(_CODES[dtype], ids).tobytes(), plain=True)
 
 
 #: array's type codes; executors are little-endian machines, as Spark's own formats assume

@@ -35,7 +35,8 @@ _SHARDS = 64
 
 
 def _digest(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    """What Spark's ``xxhash64`` gives for the word, as an unsigned number; its low bits tell the shard."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,7 +96,8 @@ class WordTable:
 
     def shard(self, k: int) -> tuple:
         if k not in self.shards:
-            self.shards[k] = tuple(map_blob(f"{self.out}/{k}.{name}", kind) for name, kind in (("key", "<u8"), ("word", "u1"), ("word-at", "<i8"), ("ids", "u1"), ("ids-at", "<i8")))
+            key, word, word_at, ids, ids_at = (np.asarray(map_blob(f"{self.out}/{k}.{name}", kind)) for name, kind in (("key", "<u8"), ("word", "u1"), ("word-at", "<i8"), ("ids", "u1"), ("ids-at", "<i8")))
+            self.shards[k] = key, memoryview(word), word_at, memoryview(ids), ids_at
         return self.shards[k]
 
     def decoded(self, ids: bytes) -> bytes:
@@ -105,20 +107,19 @@ class WordTable:
         """``word: (ids, decoded)`` of those that the files have; equal digests are told apart by the words."""
         found: dict[bytes, tuple[bytes, bytes]] = {}
         digests = np.fromiter(map(_digest, missing), np.uint64, len(missing))
-        for k in range(_SHARDS):
-            keys, text, text_at, ids, ids_at = self.shard(k)
-            if not len(keys) or not len(missing):
+        shards = (digests % np.uint64(_SHARDS)).astype(np.int64)
+        order = np.argsort(shards, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+            if not len(own):
                 continue
-            at = np.searchsorted(keys, digests)
-            hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == digests)
-            for i in hit.tolist():
-                j = int(at[i])
-                while j < len(keys) and keys[j] == digests[i]:
-                    if text[text_at[j] : text_at[j + 1]].tobytes() == missing[i]:
-                        own = ids[ids_at[j] : ids_at[j + 1]].tobytes()
-                        found[missing[i]] = (own, self.decoded(own))
-                        break
-                    j += 1
+            keys, text, text_at, ids, ids_at = self.shard(int(shards[own[0]]))
+            at, end = (np.searchsorted(keys, digests[own], side) for side in ("left", "right"))
+            for i, j, n in zip(own.tolist(), at.tolist(), (end - at).tolist(), strict=True):
+                word = missing[i]
+                for j in range(j, j + n):  # more than one where digests are equal
+                    if text[text_at[j] : text_at[j + 1]] == word:
+                        made = bytes(ids[ids_at[j] : ids_at[j + 1]])
+                        found[word] = (made, self.decoded(made))
         return found
 
     def values(self, texts: list[list[bytes]]) -> list[list[tuple[bytes, bytes] | None]]:

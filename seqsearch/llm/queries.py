@@ -28,6 +28,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_flac import read_media, to_media
+
+    return read_media(to_media(table(spark, sf_dir, "documents")))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -53,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op5_minhash, op7_word_bpe, op8_token_files, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_media_flac, op5_minhash, op7_word_bpe, op8_token_files, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

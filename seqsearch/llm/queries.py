@@ -40,6 +40,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_bpe import encode_decode
 
@@ -59,7 +65,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_media_flac, op5_minhash, op7_word_bpe, op8_token_files, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,6 +22,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+#: A dated list for the query: key, day, listed.
+URL_EVENTS = (
+    ("spam-farm.example.org", "2023-06-01", True),
+    ("spam-farm.example.org", "2024-07-01", False),
+    ("spam-farm.example.org", "2024-10-01", True),
+    ("ads-track.example.com", "2024-02-15", True),
+    ("casino-win.example.net", "2022-01-01", True),
+    ("casino-win.example.net", "2024-03-01", True),
+    ("cheap-pills.example.net", "2024-05-05", True),
+    ("adult-x.example.com", "2023-01-01", True),
+    ("adult-x.example.com", "2024-09-01", False),
+    ("free-bets.example.net", "2024-04-01", True),
+    ("free-bets.example.net", "2024-04-01", False),
+    ("free-bets.example.net", "2024-08-01", True),
+    ("tionsh.example.net/de", "2024-03-01", True),
+    ("tionsh.example.net/de", "2024-05-31", False),
+    ("blog.tionble.example.com", "2024-11-15", True),
+    ("tiontion.example.com/fr", "2024-01-01", True),
+)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no day of fetching; here it is ``page_id`` modulo 365 days after the first of 2024."""
+    from pyspark.sql import functions as F
+
+    from .url_filters import filter_urls
+
+    events = spark.createDataFrame(list(URL_EVENTS), "key string, day string, listed boolean")
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod("page_id", F.lit(365)).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    found = filter_urls(pages, events)
+    return found.select("page_id", "url", F.col("fetched").cast("string"), "host", "n_active", "blocked", "entry", F.col("listed_on").cast("string"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -58,6 +92,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")), least=0.3)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mix
 
@@ -65,8 +106,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(), "op10_source_mixing": sql.source_mixing()}
+    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op10_source_mixing": sql.source_mixing()}

@@ -58,3 +58,16 @@ b as (select source, h, sum(size)::bigint as size, coalesce(sum(sum(size)) over
 m as (select b.source, max_by(struct_pack(h := h, under := under, size := b.size), h) as x from b join n on b.source is not distinct from n.source where under <= need group by b.source),
 p as (select n.*, case when need > 0 then case when 2 * (need - x.under) >= x.size then x.h + 1 else x.h end else 0 end as lim from n left join m on n.source is not distinct from m.source)
 select doc_id, d.size, source_size, target, size * (whole + (whole < 2 and h < lim)::bigint) as taken from d join p on d.source is not distinct from p.source"""
+
+
+def url_filters(events) -> str:
+    rows = ", ".join(f"('{k}', date '{d}', {str(x).lower()})" for k, d, x in events)
+    return rf"""
+with e as (select key, day, bool_and(listed) as listed from (values {rows}) t(key, day, listed) group by key, day),
+c as (select *, coalesce(lag(listed) over (partition by key order by day), false) as before from e),
+v as (select key, day as since, listed, lead(day) over (partition by key order by day) as until from c where listed <> before),
+p as (select page_id, url, date '2024-01-01' + (page_id % 365)::int as fetched, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) as host,
+ regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) as path from pages),
+m as (select p.*, (select list(struct_pack(n := -length(v.key), key := v.key, since := v.since) order by -length(v.key), v.key) from v where listed and p.fetched >= v.since and (v.until is null or p.fetched < v.until)
+ and (case when contains(v.key, '/') then starts_with(regexp_replace(p.host || path, '/+', '/', 'g') || '/', v.key || '/') else p.host = v.key or ends_with(p.host, '.' || v.key) end)) as found from p)
+select page_id, url, fetched::varchar as fetched, host, coalesce(len(found), 0)::bigint as n_active, found is not null as blocked, found[1].key as entry, found[1].since::varchar as listed_on from m"""

@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words(text: str) -> F.Column:
     """Native: array of the words of a string column; null and empty texts have none."""
     parts = F.split(F.coalesce(F.col(text), F.lit("")), WORD_GAP)

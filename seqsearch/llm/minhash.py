@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -152,9 +152,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
 
     involved = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     ids = cut(involved.join(nodes.select("node", "id"), "node").select("id").distinct(), "involved")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "id", "left_semi").select("text")
+    texts = docs.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("text")
     texts = cut(texts.mapInArrow(keyed, "node binary, text string"), "texts").dropDuplicates(["node"])
     joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
@@ -241,3 +239,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = sets.select("id", "n", "key").join(of, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``df``, with all columns, of which one document of each group stays: the one with the smallest id.
+
+    Of repeated rows of a document that stays (same id and text) one stays. Rows without id stay, as no id tells them;
+    rows that share an id but not a text stay if one of them does. Other cases as in ``near_duplicates``.
+    """
+    found = cut(near_duplicates(df, id_col, text_col, percent), "near-duplicates")
+    by_id = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    by_id = cut(by_id.where("rows > 1 or not stays"), "not-single")
+    gone, several = by_id.where("not stays").select("_id"), by_id.where("stays").select("_id")
+    out = df.join(small(gone, BROADCAST_IDS), df[id_col] == gone["_id"], "left_anti")
+    if several.isEmpty():
+        return out
+    several = small(several, BROADCAST_IDS)
+    once = out.join(several, out[id_col] == several["_id"], "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(several, out[id_col] == several["_id"], "left_anti").unionByName(once)

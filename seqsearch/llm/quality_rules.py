@@ -47,13 +47,13 @@ def _without(column: str, characters: str) -> Column:
     return F.length(column) - F.length(F.translate(column, characters, ""))
 
 
-def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts that rules read, a row for each row of ``df``; a null text has none of anything.
+def counts(df: DataFrame, carried: Column, text_col: str = "text") -> DataFrame:
+    """``id``, which is ``carried``, and the counts that rules read, for each row; a null text has none of anything.
 
     All within a row: a document's words and 3-word windows stay arrays, nothing is exploded.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    a = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    a = df.select(carried.alias("id"), text.alias("text"))
     # what is left when lower-case and non-ASCII characters go is short, and holds all that is counted by character
     a = a.select("id", "text", F.regexp_replace("text", r"[^\x00-\x60\x7B-\x7F]+", "").alias("rest"), F.filter(F.split("text", WORD_GAP), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     last = F.size("words") - 3
@@ -133,10 +133,21 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fails. Null ids stay null, repeated rows stay repeated, an empty table gives an empty one; other columns are not
     read. Reads the texts once: the counts are written to the shared folder before they are used twice.
     """
-    voted = cut(_votes(counts(df, id_col, text_col)), "rule-votes")
+    out = _judge(df, F.col(id_col), text_col, least, rounds)
+    return out.select(F.col("id").alias(id_col), *BASE, "base_failed", "kept", "pattern", "p_quality")
+
+
+def keep_good(df: DataFrame, text_col: str = "text", least: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, with all their columns; cases as there."""
+    out = _judge(df, F.struct(*(F.col(f"`{c}`") for c in df.columns)), text_col, least, rounds)
+    return out.where("kept").select("id.*")
+
+
+def _judge(df: DataFrame, carried: Column, text_col: str, least: float, rounds: int) -> DataFrame:
+    voted = cut(_votes(counts(df, carried, text_col)), "rule-votes")
     patterns = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     known = estimate(patterns, rounds).select(F.explode("posteriors").alias("x")).select("x.pattern", "x.p_quality")
     out = voted.join(F.broadcast(known), "pattern", "left")  # at most 3 ** len(RULES) rows
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.select(F.col("id").alias(id_col), *BASE, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("p_quality") >= least, F.lit(False))).alias("kept"), "pattern", "p_quality")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("p_quality") >= least, F.lit(False)))

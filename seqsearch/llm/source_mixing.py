@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut
+from .common import WORD_GAP, cut, small
 
 BITS, LEVELS = 10, 4
 WEIGHTS = (3, 1, 2)
+#: Per-source plans are broadcast up to this number of sources, and joined by shuffle beyond it.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -47,41 +49,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return s.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("bound").cast("double")), F.col("bound").cast("double")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
-    """``id, size, source_size, target, copies, taken`` of every row of ``df``, and its ``row_hash``.
-
-    ``size`` is the number of words, ``copies`` how often the mix takes the row (0 to ``most``), ``taken`` the words it
-    takes so. Null texts have size 0; a null source is a source of its own. Rows that are the same in id, text and source
-    have the same hash and are taken alike. Sources without words have target 0. An empty table gives an empty one;
-    other columns are not read. Reruns agree, as hashes depend on the rows alone.
-    """
+def _hash(id_col: str, text_col: str) -> Column:
     null = F.lit("")
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), null), F.coalesce(F.col(text_col).cast("string"), null)).cast("binary"))
-    hashed = F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), hashed.alias("h")), "mix-sizes")
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def thresholds(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
+    """``source, size, h`` of documents to ``s, source_size, target, whole, limit``: how often a source's documents are
+    taken whole, and under which hash once more."""
     shift = lambda level: BITS * (LEVELS - 1 - level)
-    bucket = F.shiftright("h", shift(0))
-    first = cut(docs.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "mix-buckets")
+    first = cut(docs.groupBy("source", F.shiftright("h", shift(0)).alias("bucket")).agg(F.sum("size").alias("size")), "mix-buckets")
     goal = targets(first.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = cut(goal, "mix-targets")
     # a source's threshold so far, and what is still to be spent within the bucket that starts there
-    state = goal.select("source", F.col("need"), F.lit(0).cast("long").alias("start"))
+    state = goal.select("source", "need", F.lit(0).cast("long").alias("start"))
     histogram = first
     for level in range(LEVELS):
+        known = small(state.select(F.col("source").alias("s"), "need", "start"), BROADCAST_SOURCES)
         if level:
-            bucket = F.shiftright("h", shift(level))
-            inside = docs.join(F.broadcast(state.select(F.col("source").alias("s"), "start")), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift(level - 1)) == F.shiftright("start", shift(level - 1))))
-            histogram = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+            inside = docs.join(known, _same("source", "s") & (F.shiftright("h", shift(level - 1)) == F.shiftright("start", shift(level - 1))))
+            histogram = inside.groupBy("source", F.shiftright("h", shift(level)).alias("bucket")).agg(F.sum("size").alias("size"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        rows = histogram.withColumn("under", F.coalesce(F.sum("size").over(run), F.lit(0)))
-        rows = rows.join(F.broadcast(state.select(F.col("source").alias("s"), "need")), F.col("source").eqNullSafe(F.col("s")))
+        rows = histogram.withColumn("under", F.coalesce(F.sum("size").over(run), F.lit(0))).join(known, _same("source", "s"))
         # the last bucket that starts within the budget is the one to split
-        state = rows.where(F.col("under") <= F.col("need")).groupBy("source").agg(F.max(F.struct("bucket", "under", "size", "need")).alias("x"))
-        state = cut(state.select("source", (F.col("x.need") - F.col("x.under")).alias("need"), F.shiftleft(F.col("x.bucket"), shift(level)).alias("start"), F.col("x.size").alias("size")), "mix-threshold")
+        last = rows.where(F.col("under") <= F.col("need")).groupBy("source").agg(F.max(F.struct("bucket", "under", "size", "need")).alias("x"))
+        state = cut(last.select("source", (F.col("x.need") - F.col("x.under")).alias("need"), F.shiftleft(F.col("x.bucket"), shift(level)).alias("start"), F.col("x.size").alias("size")), "mix-threshold")
     # of the smallest bucket left, all or none: whichever is nearer to the target
     limit = F.when(2 * F.col("need") >= F.col("size"), F.col("start") + 1).otherwise(F.col("start"))
-    plan = goal.join(state.select(F.col("source").alias("s"), limit.alias("limit")), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("need") > 0, F.coalesce("limit", F.lit(0))).otherwise(F.lit(0)).alias("limit"))
-    copies = (F.col("whole") + F.when((F.col("whole") < most) & (F.col("h") < F.col("limit")), 1).otherwise(0)).cast("long")
-    out = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("h").alias("row_hash"))
+    found = goal.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("need").alias("due")).join(state.select("source", limit.alias("limit")), _same("s", "source"), "left")
+    return cut(found.select("s", "source_size", "target", "whole", F.when(F.col("due") > 0, F.coalesce("limit", F.lit(0))).otherwise(F.lit(0)).alias("limit")), "mix-plan")
+
+
+def _copies(hashed: str, most: int) -> Column:
+    return (F.col("whole") + F.when((F.col("whole") < most) & (F.col(hashed) < F.col("limit")), 1).otherwise(0)).cast("long")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
+    """``id, size, source_size, target, copies, taken`` of every row of ``df``.
+
+    ``size`` is the number of words, ``copies`` how often the mix takes the row (0 to ``most``), ``taken`` the words it
+    takes so. Null texts have size 0; a null source is a source of its own. Rows that are the same in id, text and source
+    have the same hash and are taken alike. Sources without words have target 0. An empty table gives an empty one;
+    other columns are not read. Reruns agree, as hashes depend on the rows alone.
+    """
+    docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col, text_col).alias("h")), "mix-sizes")
+    plan = thresholds(docs, weights, percent, most)
+    out = docs.join(small(plan, BROADCAST_SOURCES), _same("source", "s")).withColumn("copies", _copies("h", most))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
+    """The mix itself: the rows of ``df`` with all columns, each as often as ``mix`` takes it; cases as there.
+
+    The thresholds are applied while the rows are read again; texts are not shuffled.
+    """
+    docs = cut(df.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col, text_col).alias("h")), "mix-sizes")
+    plan = small(thresholds(docs, weights, percent, most), BROADCAST_SOURCES)
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source_col).alias("source"), _hash(id_col, text_col).alias("h"))
+    out = row.join(plan, _same("source", "s")).withColumn("copies", _copies("h", most)).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -152,7 +152,7 @@ def _table(out: str, path: str) -> WordTable:
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, ids: bool = False) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of every row; with ``ids`` also ``ids`` (array of int) and ``decoded``.
+    """``id, n_tokens, ids_sha256, decoded_sha256`` of every row; with ``ids`` also ``ids`` (array of int).
 
     Encodes as the tokenizer of ``path`` (a .json with a word-wise pre-tokenizer that drops white space) with
     ``add_special_tokens=False``, and decodes as its ``decode(ids, skip_special_tokens=False)``: pieces joined by a
@@ -173,6 +173,23 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return _assemble(keyed.join(found, "row", "left").select("id", "text", "rare"), out, path, ids).withColumnRenamed("id", id_col)
 
 
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id, decoded``: what the tokenizer's ``decode(ids, skip_special_tokens=False)`` gives for arrays of ids.
+
+    A join of the ids, by position, with the id-to-piece table, done within each row's array: the table has one row
+    for each id of the vocabulary. Null arrays give null, empty ones the empty text; ids beyond the table are an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = piece_table(path)
+        for batch in batches:
+            made = [None if ids is None else b" ".join([pieces[i] for i in ids]).decode() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["id", "decoded"])
+
+    source = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
+
+
 def _rare_places(keyed: DataFrame, out: str, path: str) -> DataFrame:
     """``row, pos, word`` of the words that the files don't have: only these are shuffled."""
 
@@ -208,9 +225,10 @@ def _assemble(source: DataFrame, out: str, path: str, with_ids: bool) -> DataFra
                 columns = [batch.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in blobs]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([array("I", b).tolist() for b in blobs], pa.list_(pa.int32())), pa.array([d.decode() for d in decoded])]
-                    names += ["ids", "decoded"]
+                    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(blobs), np.int32)))]
+                    names += ["ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

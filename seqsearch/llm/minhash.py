@@ -9,7 +9,9 @@
    group of edited copies that is the text they were made from). So a bucket of n nodes gives n - 1 pairs.
 4. A star can miss a link between two nodes that are both unlike the centre. So, once the components of the confirmed
    edges are known, buckets whose nodes are not all in one component are searched in blocks for pairs across components.
-   Signatures are compared there, and only pairs that look alike become rows.
+   Signatures are compared there, and pairs that look alike become rows. Where these would be many for a block (a large
+   group of texts that are somewhat alike), the block's full sets are compared in place instead, and only links that join
+   two components come out of it.
 5. Every candidate is confirmed on the full sets, and components follow from the confirmed edges.
 """
 
@@ -29,9 +31,11 @@ from .components import components
 
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
-#: Pairs whose signatures agree in less of their bins than the threshold less this are not confirmed on full sets:
-#: six standard deviations of the estimate and more.
-MARGIN = 0.3
+#: Pairs whose signatures agree in so many standard deviations less of their bins than a link would on average are not
+#: confirmed on full sets.
+DEVIATIONS = 5
+#: A block with more pairs than this for each of its nodes is compared in place.
+DENSE = 4
 #: Needed ids up to this count are broadcast (8 bytes each), beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _BLOCK = 512
@@ -111,6 +115,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, bands array<long>, sig binary")
 
 
+def _least(n, percent: int):
+    """The share of agreeing bins from which on a pair is confirmed: as many bins count as a set of ``n`` fills."""
+    filled = BINS * (1 - np.exp(-np.asarray(n, dtype=float) / BINS))
+    j = percent / 100
+    return j - DEVIATIONS * np.sqrt(j * (1 - j) / filled)
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of ``u, v`` those whose sizes and signatures allow a link."""
 
@@ -118,16 +129,16 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((x == y).mean(axis=1) >= percent / 100 - MARGIN))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((x == y).mean(axis=1) >= _least(batch.column(4).to_numpy(zero_copy_only=False), percent)))
 
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     joined = pairs.join(a, "u").join(b, "v").where((100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu")))
-    return joined.select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+    return joined.select("u", "v", "su", "sv", F.least("nu", "nv").alias("n")).mapInArrow(run, "u binary, v binary")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of ``u, v`` those that are links on full sets. Only texts of nodes in a pair are shuffled."""
+def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes asked for. Only their texts are shuffled."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,6 +147,14 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                 keys = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["node", "text"])
 
+    ids = cut(involved.join(nodes.select("node", "id"), "node").select("id").distinct(), "involved")
+    texts = docs.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("text")
+    return cut(texts.mapInArrow(keyed, "node binary, text string"), "texts").dropDuplicates(["node"])
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of ``u, v`` those that are links on full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for whole in batches:
@@ -145,64 +164,120 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                 for v, x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     if v != last:
                         last, held = v, shingles(y)
-                    s = shingles(x)
-                    both = len(np.intersect1d(s, held, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(held) - both))
+                    t = shingles(x)
+                    both = len(np.intersect1d(t, held, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(t) + len(held) - both))
                 yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    involved = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ids = cut(involved.join(nodes.select("node", "id"), "node").select("id").distinct(), "involved")
-    texts = docs.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("text")
-    texts = cut(texts.mapInArrow(keyed, "node binary, text string"), "texts").dropDuplicates(["node"])
+    texts = _texts(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), nodes, docs)
     joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
     return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` of one bucket but two components that may be links, buckets' centres left out.
+def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``b, i, j, node, label, few``: buckets of several components, centres left out, dealt out to blocks.
 
-    A bucket's nodes outside its largest component are compared with all its nodes, in blocks of bounded size.
+    Nodes outside the bucket's largest component (``few``) meet all its nodes: each of ``i`` parts of all meets each of
+    ``j`` parts of the few, so a block has at most about twice ``_BLOCK`` rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def pairs(rows):
-            node, label, n, sig, small = zip(*rows, strict=True)
-            sig, n, label = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, BINS), np.array(n), np.array(label, dtype=object)
-            small = np.array(small)
-            right = np.flatnonzero(~small)
-            found = set()
-            for i in np.flatnonzero(small):
-                fits = right[(label[right] != label[i]) & (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
-                for j in fits[(sig[fits] == sig[i]).mean(axis=1) >= percent / 100 - MARGIN]:
-                    found.add((min(node[i], node[j]), max(node[i], node[j])))
-            return found
-
-        def batch(found):
-            u, v = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-        for b in batches:
-            for *k, node, label, n, sig, small in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key:
-                    if len(rows) > 1 and (found := pairs(rows)):
-                        yield batch(found)
-                    key, rows = k, []
-                rows.append((node, label, n, sig, small))
-        if len(rows) > 1 and (found := pairs(rows)):
-            yield batch(found)
-
     m = members.where("node <> centre").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = m.groupBy("b", "label").agg(F.count(F.lit(1)).alias("size"))
     about = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("largest")).where("kinds > 1")
     m = m.join(about.select("b", F.col("largest.label").alias("main"), F.ceil(F.col("all") / _BLOCK).alias("left"), F.ceil((F.col("all") - F.col("largest.size")) / _BLOCK).alias("right")), "b")
-    m = m.join(nodes.select("node", "n", "sig"), "node")
-    h = F.xxhash64("node")
-    every = m.select("b", F.pmod(h, F.col("left")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)).alias("j"), "node", "label", "n", "sig", F.lit(False).alias("small"))
-    small = m.where("label <> main").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("i"), F.pmod(h, F.col("right")).alias("j"), "node", "label", "n", "sig", F.lit(True).alias("small"))
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.union(small).repartition(parts, "b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, "u binary, v binary").distinct()
+    h, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    every = m.select("b", F.pmod(h, F.col("left")).alias("i"), F.explode(F.sequence(zero, F.col("right") - 1)).alias("j"), "node", "label", F.lit(False).alias("few"))
+    few = m.where("label <> main").select("b", F.explode(F.sequence(zero, F.col("left") - 1)).alias("i"), F.pmod(h, F.col("right")).alias("j"), "node", "label", F.lit(True).alias("few"))
+    return every.union(few)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Of rows sorted by their first three columns: each block's key and its other columns."""
+    key, rows = None, []
+    for batch in batches:
+        for *k, node, label, few, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = k, []
+            rows.append((node, label, few, n, data))
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _across(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``b, i, j, u, v``: pairs of a block that lie in two components and may be links; for a block with too many of them
+    one row without ``u`` and ``v``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _grouped(batches):
+            node, label, few, n, sig = zip(*rows, strict=True)
+            sig, n, label, few = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, BINS), np.array(n), np.array(label, dtype=object), np.array(few)
+            right, found = np.flatnonzero(~few), set()
+            for i in np.flatnonzero(few):
+                fits = right[(label[right] != label[i]) & (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
+                agree = (sig[fits] == sig[i]).mean(axis=1) >= _least(np.minimum(n[fits], n[i]), percent)
+                found.update((min(node[i], node[j]), max(node[i], node[j])) for j in fits[agree])
+                if len(found) > DENSE * len(rows):
+                    found = {(None, None)}
+                    break
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), pa.int64()) for k in key] + [pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["b", "i", "j", "u", "v"])
+
+    with_sigs = blocks.join(nodes.select("node", "n", "sig"), "node").select("b", "i", "j", "node", "label", "few", "n", "sig")
+    return _dealt(with_sigs).mapInArrow(run, "b long, i long, j long, u binary, v binary")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "i", "j").sortWithinPartitions("b", "i", "j")
+
+
+def _in_place(dense: DataFrame, blocks: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` of dense blocks that join two components, found on full sets within the block.
+
+    A pair is compared in the first band that it shares, so not once for each bucket, and not at all where the links
+    of the block have joined its components before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _grouped(batches):
+            node, label, few, n, texts = zip(*rows, strict=True)
+            known: dict[bytes, tuple] = {}
+            for k, t in zip(node, texts, strict=True):
+                if k not in known:
+                    hashes = shingles(t)
+                    known[k] = (set(hashes.tolist()), bands(signature(hashes)))
+            sets = [known[k][0] for k in node]
+            band, n, few = np.stack([known[k][1] for k in node]), np.array(n), np.array(few)
+            root = {x: x for x in label}
+
+            def find(x, root=root):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            right, found = np.flatnonzero(~few), []
+            for i in np.flatnonzero(few).tolist():
+                fits = right[(100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
+                same = band[fits] == band[i]
+                first = same.argmax(axis=1)
+                fits = fits[same.any(axis=1) & (band[i][first] == key[0])]
+                for j in fits.tolist():
+                    a, b = find(label[i]), find(label[j])
+                    if a != b:
+                        both = len(sets[i] & sets[j])
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            root[a] = b
+                            found.append((node[i], node[j]))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    rows = cut(blocks.join(dense, ["b", "i", "j"]), "dense")
+    texts = _texts(rows.select("node").distinct(), nodes, docs)
+    whole = rows.join(texts, "node").join(nodes.select("node", "n"), "node").select("b", "i", "j", "node", "label", "few", "n", "text")
+    return _dealt(whole).mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -228,11 +303,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     edges = cut(_confirm(cut(_alike(star, nodes, percent), "pairs"), nodes, docs, percent), "edges")
     labels = cut(components(edges), "labels")
-    across = cut(_across(members, labels, nodes, percent), "pairs")
-    if not across.isEmpty():
-        more = cut(_confirm(across, nodes, docs, percent), "edges")
-        if not more.isEmpty():
-            labels = cut(components(edges.union(more)), "labels")
+    blocks = cut(_blocks(members, labels), "blocks")
+    across = cut(_across(blocks, nodes, percent), "pairs")
+    pairs, dense = across.where("u is not null").select("u", "v").distinct(), across.where("u is null").select("b", "i", "j")
+    more = [] if pairs.isEmpty() else [cut(_confirm(pairs, nodes, docs, percent), "edges")]
+    more += [] if dense.isEmpty() else [cut(_in_place(dense, blocks, nodes, docs, percent), "edges")]
+    for found in more:
+        edges = edges.union(found)
+    if any(not found.isEmpty() for found in more):
+        labels = cut(components(edges), "labels")
     of = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of.groupBy("label").agg(F.min("id").alias("component"))
     of = of.join(smallest, "label").select(F.col("node").alias("key"), "component")

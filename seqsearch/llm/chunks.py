@@ -14,9 +14,9 @@ import re
 _ODD = re.compile(r"\s\s|\x00")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Byte-level vocabularies spell the bytes that don't print, and the space, as characters from U+0100 on.
-_BYTE_NAMES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512), strict=False))
+BYTE_NAMES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512), strict=False))
 
 
 def pieces(text: str) -> list[str]:
@@ -73,13 +73,13 @@ class PieceEncoder:
         """Puts the plain pieces' values into ``made``; returns the others."""
         others, tokenize, value = [], self.model.tokenize, self.value
         for piece in missing:
-            word = piece.rstrip(_MARKS)
+            word = piece.rstrip(MARKS)
             bare = word[1:] if word[:1] in (" ", "\n") else word
             if not bare.isalpha() or max(bare) > "\u024f":
                 others.append(piece)
                 continue
             before = [] if word[0] != "\n" else self._ids("\n")
-            spelled = ("\u0120" if word[0] == " " else "") + (bare if bare.isascii() else bare.encode().decode("latin-1").translate(_BYTE_NAMES))
+            spelled = ("\u0120" if word[0] == " " else "") + (bare if bare.isascii() else bare.encode().decode("latin-1").translate(BYTE_NAMES))
             ids = before + [t.id for t in tokenize(spelled)]
             made[piece] = value(ids if len(word) == len(piece) else ids + self._ids(piece[len(word) :]))
         return others

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import BYTE_NAMES, MARKS
 from .common import cut, map_blob, scratch, words, write_blob
 from .token_counts import load_once
 
@@ -35,7 +36,7 @@ _SHARDS = 64
 
 
 def _digest(word: bytes) -> int:
-    """What Spark's ``xxhash64`` gives for the word, as an unsigned number; its low bits tell the shard."""
+    """What Spark's ``xxhash64`` gives for the word, without its sign; the low bits tell the shard."""
     return xxhash.xxh64_intdigest(word, seed=42)
 
 
@@ -44,16 +45,52 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.explode(words(text_col)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+class WordEncoder:
+    """Ids of single words. Words of Latin-1 letters, perhaps before ASCII punctuation, go to the library's BPE model as
+    its normalizer and pre-tokenizer would give them to it; all others take the whole way, in batches."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_once(path)
+        self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def ids(self, found: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        tokenize, marks = self.model.tokenize, self.marks
+        for word in found:
+            bare = word.rstrip(MARKS)
+            if not bare.isalpha() or max(bare) > "\u00ff":
+                out.append(None)
+                continue
+            rest = word[len(bare) :]
+            if rest not in marks:
+                if len(marks) > 10_000:
+                    marks.clear()
+                    marks[""] = []
+                marks[rest] = self.tokenizer.encode(rest, add_special_tokens=False).ids
+            bare = bare.lower()
+            spelled = bare if bare.isascii() else bare.encode().decode("latin-1").translate(BYTE_NAMES)
+            out.append(array("I", [t.id for t in tokenize(spelled)] + marks[rest]).tobytes())
+        others = [i for i, ids in enumerate(out) if ids is None]
+        encoded = self.tokenizer.encode_batch_fast([found[i] for i in others], add_special_tokens=False)
+        for i, e in zip(others, encoded, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def encode_words(counted: DataFrame, path: str) -> DataFrame:
     """``word, n, ids`` (32-bit little-endian), each row's word encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_once(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                made = tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([array("I", e.ids).tobytes() for e in made], pa.binary())], names=["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_encoder(path).ids(part.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
 
     return counted.mapInArrow(run, "word string, n long, ids binary")
 
@@ -70,73 +107,94 @@ def _lay_out(table: DataFrame, out: str) -> None:
     """Write words, ids and their places, sorted by the words' digests, as ``_SHARDS`` groups of flat files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(_digest(w := word.encode()), w, ids) for batch in batches for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        rows.sort()
+        held = _gather(batches)
         k = TaskContext.get().partitionId()
-        for name, column in (("word", 1), ("ids", 2)):
-            write_blob(f"{out}/{k}.{name}", [r[column] for r in rows])
-            write_blob(f"{out}/{k}.{name}-at", [np.concatenate([[0], np.cumsum([len(r[column]) for r in rows])]).astype("<i8").tobytes()])
-        write_blob(f"{out}/{k}.key", [np.array([r[0] for r in rows], dtype="<u8").tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
-
-    shard = F.pmod(F.xxhash64("word"), F.lit(_SHARDS)).cast("int")
-    laid = table.select("word", "ids", shard.alias("shard")).repartitionById(_SHARDS, "shard").select("word", "ids").mapInArrow(run, "n long")
+        write_blob(f"{out}/{k}.key", [held[0].tobytes()])
+        for name, parts in (("word", held[1]), ("ids", held[2])):
+            sizes = np.concatenate([np.diff(o) for o, _ in parts]) if parts else np.empty(0, np.int64)
+            write_blob(f"{out}/{k}.{name}", [data for _, data in parts])
+            write_blob(f"{out}/{k}.{name}-at", [np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array([len(held[0])], pa.int64())], names=["n"])
+
+    key = F.xxhash64("word")
+    laid = table.select(key.alias("key"), "word", "ids", F.pmod(key, F.lit(_SHARDS)).cast("int").alias("shard")).repartitionById(_SHARDS, "shard").sortWithinPartitions("key").select("key", "word", "ids").mapInArrow(run, "n long")
     laid.agg(F.sum("n")).collect()
 
 
+def _gather(batches: Iterator[pa.RecordBatch]):
+    """Of batches of (key, word, ids) the keys, and of words and ids the offsets and bytes of each batch."""
+    keys, columns = [], ([], [])
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+        for column, parts in zip(batch.columns[1:], columns, strict=True):
+            wide = column.cast(pa.large_binary())
+            _, offsets, data = wide.buffers()
+            o = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+            parts.append((o.copy(), bytes(data)[o[0] : o[-1]] if data is not None else b""))
+    return (np.concatenate(keys) if keys else np.empty(0, np.int64)), *columns
+
+
 class WordTable:
-    """Looks words up in the files of ``_lay_out``; holds what it found in two bounded generations."""
+    """Looks words up in the files of ``_lay_out``. What it found is held in two generations of bounded size."""
 
-    def __init__(self, out: str, path: str, held: int = 300_000):
+    def __init__(self, out: str, path: str, held: int = 120 << 20):
         self.out, self.held = out, held
         self.pieces = piece_table(path)
-        self.young: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
+        self.old: tuple[dict, dict] = ({}, {})
+        self.size = 0
         self.shards: dict[int, tuple] = {}
 
     def shard(self, k: int) -> tuple:
         if k not in self.shards:
-            key, word, word_at, ids, ids_at = (np.asarray(map_blob(f"{self.out}/{k}.{name}", kind)) for name, kind in (("key", "<u8"), ("word", "u1"), ("word-at", "<i8"), ("ids", "u1"), ("ids-at", "<i8")))
+            key, word, word_at, ids, ids_at = (np.asarray(map_blob(f"{self.out}/{k}.{name}", kind)) for name, kind in (("key", "<i8"), ("word", "u1"), ("word-at", "<i8"), ("ids", "u1"), ("ids-at", "<i8")))
             self.shards[k] = key, memoryview(word), word_at, memoryview(ids), ids_at
         return self.shards[k]
 
-    def decoded(self, ids: bytes) -> bytes:
+    def decode(self, ids: bytes) -> bytes:
         return b" ".join([self.pieces[i] for i in array("I", ids)])
 
-    def find(self, missing: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """``word: (ids, decoded)`` of those that the files have; equal digests are told apart by the words."""
-        found: dict[bytes, tuple[bytes, bytes]] = {}
+    def put(self, word: bytes, ids: bytes) -> None:
+        self.ids[word], self.decoded[word] = ids, (decoded := self.decode(ids))
+        self.size += len(word) + len(ids) + len(decoded) + 250
+
+    def find(self, missing: list[bytes]) -> None:
+        """Puts those that the files have; equal digests are told apart by the words."""
         digests = np.fromiter(map(_digest, missing), np.uint64, len(missing))
         shards = (digests % np.uint64(_SHARDS)).astype(np.int64)
+        signed = digests.view(np.int64)
         order = np.argsort(shards, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
             if not len(own):
                 continue
             keys, text, text_at, ids, ids_at = self.shard(int(shards[own[0]]))
-            at, end = (np.searchsorted(keys, digests[own], side) for side in ("left", "right"))
-            for i, j, n in zip(own.tolist(), at.tolist(), (end - at).tolist(), strict=True):
+            at = np.searchsorted(keys, signed[own], "left")
+            n = np.searchsorted(keys, signed[own], "right") - at
+            own, at, n = own[n > 0], at[n > 0], n[n > 0]
+            for i, j, k, a, b, c, d in zip(own.tolist(), at.tolist(), n.tolist(), text_at[at].tolist(), text_at[at + 1].tolist(), ids_at[at].tolist(), ids_at[at + 1].tolist(), strict=True):
                 word = missing[i]
-                for j in range(j, j + n):  # more than one where digests are equal
-                    if text[text_at[j] : text_at[j + 1]] == word:
-                        made = bytes(ids[ids_at[j] : ids_at[j + 1]])
-                        found[word] = (made, self.decoded(made))
-        return found
-
-    def values(self, texts: list[list[bytes]]) -> list[list[tuple[bytes, bytes] | None]]:
-        """For each word its ids and decoded pieces, None where the files don't have it."""
-        get = self.young.get
-        out = [list(map(get, own)) for own in texts]
-        missing = {w for own, got in zip(texts, out, strict=True) if None in got for w, v in zip(own, got, strict=True) if v is None}
+                if text[a:b] == word:
+                    self.put(word, bytes(ids[c:d]))
+                    continue
+                for m in range(j + 1, j + k):
+                    if text[text_at[m] : text_at[m + 1]] == word:
+                        self.put(word, bytes(ids[ids_at[m] : ids_at[m + 1]]))
+
+    def know(self, texts: list[list[bytes]]) -> set[bytes]:
+        """Makes the words of ``texts`` known in ``ids`` and ``decoded``; returns those that the files don't have."""
+        if self.size > self.held:
+            self.old, self.ids, self.decoded, self.size = (self.ids, self.decoded), {}, {}, 0
+        missing = set().union(*texts).difference(self.ids)
         if missing:
-            made = {w: self.old[w] for w in missing if w in self.old}
-            made |= self.find([w for w in missing if w not in made])
-            for own, got in zip(texts, out, strict=True):
-                if None in got:
-                    got[:] = [made.get(w) if v is None else v for w, v in zip(own, got, strict=True)]
-            self.young.update((w, v) for w, v in made.items() if len(w) <= 64)
-            if len(self.young) > self.held:
-                self.old, self.young = self.young, {}
-        return out
+            again = [w for w in missing if w in self.old[0]]
+            for w in again:
+                self.ids[w], self.decoded[w] = self.old[0][w], self.old[1][w]
+                self.size += len(w) + len(self.ids[w]) + len(self.decoded[w]) + 250
+            missing.difference_update(again)
+            self.find(list(missing))
+            missing.difference_update(self.ids)
+        return missing
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +257,8 @@ def _rare_places(keyed: DataFrame, out: str, path: str) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                made = [(row, pos, own[pos].decode()) for row, own, got in zip(batch.column(0).to_pylist(), texts, table.values(texts), strict=True) for pos, v in enumerate(got) if v is None]
+                rare = table.know(texts)
+                made = [(row, pos, w.decode()) for row, own in zip(batch.column(0).to_pylist(), texts, strict=True) for pos, w in enumerate(own) if w in rare] if rare else []
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["row", "pos", "word"])
 
@@ -215,13 +274,16 @@ def _assemble(source: DataFrame, out: str, path: str, with_ids: bool) -> DataFra
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                values = table.values(texts)
-                if has_rare:
-                    for got, rare in zip(values, batch.column(2).to_pylist(), strict=True):
-                        for r in rare or ():
-                            got[r["pos"]] = (r["word_ids"], table.decoded(r["word_ids"]))
-                blobs = [b"".join([v[0] for v in got]) for got in values]
-                decoded = [b" ".join([v[1] for v in got if v[0]]) for got in values]
+                if rare := table.know(texts):
+                    if not has_rare:
+                        raise KeyError(f"{len(rare)} words are not in the word table")
+                    for own, found in zip(texts, batch.column(2).to_pylist(), strict=True):
+                        for r in found or ():
+                            if own[r["pos"]] not in table.ids:
+                                table.put(own[r["pos"]], r["word_ids"])
+                ids_of, text_of = table.ids.__getitem__, table.decoded.__getitem__
+                blobs = [b"".join(map(ids_of, own)) for own in texts]
+                decoded = [b" ".join(filter(None, map(text_of, own))) for own in texts]
                 columns = [batch.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in blobs]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

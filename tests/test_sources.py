@@ -1,0 +1,159 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqsearch.cli import config, main, parser
+from seqsearch.operators import seeds
+from seqsearch.sources import fasta, sinks, store
+
+TEXT = """>one first record
+ACDE
+fghi
+
+IGNORED
+>two
+AC DE
+>
+ACGT
+>three #x
+AB-C*9
+#note
+DEF
+>empty
+>last
+acde"""
+
+
+@pytest.fixture
+def file(tmp_path):
+    path = tmp_path / "in.fa"
+    path.write_text(TEXT)
+    return str(path)
+
+
+def test_database_rules(spark, file):
+    got = {r["name"]: r["seq"] for r in fasta.read_fasta(spark, file, "db").collect()}
+    assert got == {"one first record": "ACDEFGHI", "three #x": "ABC**", "empty": "", "last": "ACDE"}
+
+
+def test_query_rules(spark, file):
+    got = {r["name"]: r["seq"] for r in fasta.read_fasta(spark, file, "query").collect()}
+    assert got == {"one first record": "ACDEFGHI", "three #x": "AB*C***NOTEDEF", "empty": "", "last": "ACDE"}
+
+
+def test_roles_are_checked(spark, file):
+    with pytest.raises(ValueError):
+        fasta.read_fasta(spark, file, "other")
+
+
+def test_ids_follow_the_file(spark, file):
+    got = fasta.with_ids(fasta.read_fasta(spark, file, "db"), "s").orderBy("s_id").collect()
+    assert [(r["s_id"], r["s_name"], r["s_len"]) for r in got] == [(0, "one first record", 8), (1, "three #x", 5), (2, "empty", 0), (3, "last", 4)]
+
+
+def test_kmers_of_short_and_null_sequences(spark):
+    rows = spark.createDataFrame([(1, "ACD"), (2, "AC"), (3, None), (4, "AAAA"), (5, "AC*D"), (6, "")], "s_id int, s string")
+    assert sorted(map(tuple, seeds.kmers(rows, "s_id", "s", 3).collect())) == [(1, 0, "ACD"), (4, 0, "AAA"), (4, 1, "AAA"), (5, 0, "AC*"), (5, 1, "C*D")]
+    assert [tuple(r) for r in seeds.seeds(rows, "s_id", "s", 3).collect()] == [(1, 0, "ACD")]
+    assert seeds.seeds(rows, "s_id", "s", 3, illegal=True).count() == 3
+    tails = spark.createDataFrame([(1, "WWWAA"), (2, "WWAAA")], "s_id int, s string")
+    assert [r["s_id"] for r in seeds.seeds(tails, "s_id", "s", 5, blank_tail_a=True).collect()] == [2]
+
+
+def test_layout_and_lookup(spark):
+    lengths = [5, 0, 7, 3, 40, 1]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "s_id long, s_len int")
+    laid = store.layout(rows, max_residues=10, streams=2)
+    got = laid.orderBy("s_id").collect()
+    assert [r["s_offset"] for r in got] == [0, 6, 7, 15, 19, 60]
+    assert [(r["part"], r["stream"]) for r in got] == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (3, 0)]
+    space = store.search_space(store.stats(laid)).first()
+    assert space["slots"] == 62 and space["padded"] == 32 + 64 + 32
+    positions = spark.range(0, 62).select(F.col("id").alias("pos"))
+    found = store.position_to_subject(positions, laid, width=8).orderBy("pos").collect()
+    expected = [(i, k) for i, n in enumerate(lengths) for k in range(n + 1)]
+    assert [(r["s_id"], r["s_pos"]) for r in found] == expected
+
+
+QUERY = ">q1 the query\nMKVLAWGHEYRRNDQPTSFCMKVLWWHEYD\n>q2 lonely\nGGGGGGGGGGGG\n"
+DATABASE = ">s1 with an insertion\nPPMKVLAWGHEYRRNDPPPQPTSFCMKVLWWHEYDPP\n>s2 with a deletion\nMKVLAWGHEYRRQPTSFCMKVLWWHEYD\n>s3\nAAAACCCCAAAACCCC\n"
+
+
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("db")
+    (folder / "q.fa").write_text(QUERY)
+    (folder / "d.fa").write_text(DATABASE)
+    main(["build-db", str(folder / "d.fa"), str(folder / "db")])
+    return folder
+
+
+def searched(spark, folder, fmt, *more):
+    out = f"{folder}/out{fmt}{len(more)}"
+    main(["search", "-q", f"{folder}/q.fa", "-d", f"{folder}/db", "-o", out, "--outfmt", str(fmt), "-k", "3", *more])
+    return out
+
+
+def lines(spark, path):
+    return [r["value"] for r in spark.read.text(path).collect()]
+
+
+def test_tabular(spark, built):
+    got = [line.split("\t") for line in lines(spark, searched(spark, built, 0, "-e", "1e-3", "-p", "-1"))]
+    assert all(len(x) == 13 and x[-1] == "" for x in got)
+    tops = {x[1]: x for x in reversed(got)}
+    # an insertion of three residues costs 13, a deletion of two 12; gap columns are mismatches; counted from 0, end included
+    assert tops["s1"][:10] == ["q1", "s1", "90.9091", "33", "3", "1", "0", "29", "2", "34"]
+    assert tops["s2"][:10] == ["q1", "s2", "93.3333", "30", "2", "1", "0", "29", "0", "27"]
+    assert set(x[0] for x in got) == {"q1"}
+
+
+def test_other_layouts(spark, built):
+    reduced = lines(spark, searched(spark, built, 5, "-p", "-1", "--max-output-align", "1"))
+    assert len(reduced) == 1 and reduced[0].split("\t")[:2] == ["q1", "s1"]
+    extended = lines(spark, searched(spark, built, 3, "-p", "-1", "--max-output-align", "1"))[0].split("\t")
+    assert len(extended) == 17 and extended[2] == "q1 the query" and extended[15] == "MKVLAWGHEYRRNDPPPQPTSFCMKVLWWHEYD"
+    pairwise = lines(spark, searched(spark, built, 1, "-p", "-1", "--max-output-align", "1"))
+    assert pairwise[:3] == ["=========================", "", "Query 0: q1 the query #MKVLAWGHEYRRNDQPTSFCMKVLWWHEYD#"]
+    assert "Q: 0\tMKVLAWGHEYRRND---QPTSFCMKVLWWHEYD" in pairwise and "Query 1: q2 lonely #GGGGGGGGGGGG#" in pairwise
+    out = searched(spark, built, 2, "-p", "-1", "--max-output-align", "2")
+    assert lines(spark, out + ".fasta")[:2] == [">s1 with an insertion", "MKVLAWGHEYRRNDPPPQPTSFCMKVLWWHEYD"] and len(lines(spark, out)) == 2
+    a3m = spark.read.text(searched(spark, built, 4, "-p", "-1", "-e", "1e-3")).where("query = 'q1'").collect()
+    rows = [r["value"] for r in a3m]
+    assert rows[:2] == [">q1 the query", "MKVLAWGHEYRRNDQPTSFCMKVLWWHEYD"]
+    assert "MKVLAWGHEYRR--QPTSFCMKVLWWHEYD" in rows and "MKVLAWGHEYRRNDpppQPTSFCMKVLWWHEYD" in rows
+
+
+def test_must_include(spark, built):
+    both = lines(spark, searched(spark, built, 5, "-p", "-1", "-e", "1e-3", "--must-include", "W[A-Z]{1,2}H", "2"))
+    assert both and all(x.startswith("q1") for x in both)
+    assert lines(spark, searched(spark, built, 5, "-p", "-1", "--must-include", "W[A-Z]{1,2}H", "3")) == []
+    with pytest.raises(SystemExit):
+        config(parser().parse_args(["search", "-q", "a", "-d", "b", "-o", "c", "--must-include", "A"]))
+
+
+def test_unknown_layout(spark):
+    with pytest.raises(ValueError):
+        sinks.rendered(spark.range(1), 6)
+
+
+def test_stream_finds_what_a_batch_finds(spark, built, tmp_path):
+    from seqsearch.config import SearchConfig
+    from seqsearch.plans.search import search
+    from seqsearch.streaming.search_stream import search_files
+
+    queries = fasta.with_ids(fasta.read_fasta(spark, f"{built}/q.fa", "query"), "q").cache()
+    cfg = SearchConfig(k=3, filter_level=-1, search_space=1000, max_evalue=1e-3)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.fa").write_text(DATABASE)
+    found = {}
+    stream = search_files(spark, str(folder), queries, cfg, lambda df, n: found.setdefault(n, df.collect()), str(tmp_path / "ck"))
+    stream.awaitTermination(120)
+    subjects = fasta.with_ids(fasta.read_fasta(spark, f"{built}/d.fa", "db"), "s")
+    batch = search(queries, subjects, cfg).collect()
+    key = lambda rows: sorted((r["q_name"], r["s_name"], r["score"], r["q_begin"], r["s_begin"]) for r in rows)
+    assert key(found[0]) == key(batch) and len(batch) >= 2
+    with pytest.raises(ValueError):
+        search_files(spark, str(folder), queries, SearchConfig(), print, str(tmp_path / "ck2"))

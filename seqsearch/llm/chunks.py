@@ -44,10 +44,9 @@ def load(path: str):
 class PieceEncoder:
     """What ``value`` makes of the ids of a piece; frequent pieces are encoded once and held.
 
-    Two generations of at most ``held`` pieces each: when the younger is full it becomes the older, whose
+    Two generations of about ``held`` pieces each: when the younger is full it becomes the older, whose
     pieces come back when they are seen again. So memory is bounded and frequent pieces stay. Misses are
     encoded in batches of at most ``batch_bytes`` characters (one longer piece makes a batch of its own).
-    ``value`` must not return None.
 
     With ``plain``, pieces that are one word of Latin letters, perhaps after a space or line feed and before ASCII
     punctuation, go to the library's BPE model directly, as the words that its pre-tokenizer would make of them; this
@@ -98,24 +97,18 @@ class PieceEncoder:
             at = end
         return made
 
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces, in order."""
+    def values(self, texts: list[str]) -> list:
+        """For each text an iterator over the values of its pieces, in order; to be used before the next call."""
         parts = [pieces(t) for t in texts]
-        get = self.young.get
-        out = [list(map(get, own)) for own in parts]
-        missing = {p for own, got in zip(parts, out, strict=True) if None in got for p, v in zip(own, got, strict=True) if v is None}
-        if not missing:
-            return out
-        old = self.old
-        made = {p: old[p] for p in missing if p in old}
-        made |= self._encode([p for p in missing if p not in made])
-        for own, got in zip(parts, out, strict=True):
-            if None in got:
-                got[:] = [made[p] if v is None else v for p, v in zip(own, got, strict=True)]
-        self.young.update((p, v) for p, v in made.items() if len(p) <= 64)
         if len(self.young) > self.held:
             self.old, self.young = self.young, {}
-        return out
+        known, old = self.young, self.old
+        missing = set().union(*parts).difference(known)
+        if missing:
+            again = {p: old[p] for p in missing if p in old}
+            known.update(again)
+            known.update(self._encode(list(missing.difference(again))))
+        return [map(known.__getitem__, own) for own in parts]
 
 
 def by_size(texts: list[str], most: int = 1 << 18):

@@ -48,16 +48,16 @@ class PieceEncoder:
     pieces come back when they are seen again. So memory is bounded and frequent pieces stay. Misses are
     encoded in batches of at most ``batch_bytes`` characters (one longer piece makes a batch of its own).
 
-    With ``plain``, pieces that are one word of Latin letters, perhaps after a space or line feed and before ASCII
-    punctuation, go to the library's BPE model directly, as the words that its pre-tokenizer would make of them; this
-    spares most of the cost of a miss. All other pieces take the whole way.
+    With ``plain``, misses are encoded one by one when they are met, and pieces that are one word of Latin letters,
+    perhaps after a space or line feed and before ASCII punctuation, go to the library's BPE model directly, as the
+    words that its pre-tokenizer would make of them. All other pieces take the whole way.
     """
 
     def __init__(self, path: str, value, held: int = 600_000, batch_bytes: int = 1 << 20, plain: bool = False):
         self.tokenizer, self.value, self.held, self.batch = load(path), value, held, batch_bytes
         self.model = self.tokenizer.model if plain else None
         self.rest: dict[str, list[int]] = {}
-        self.young: dict[str, object] = {}
+        self.young: dict[str, object] = _Known(self) if plain else {}
         self.old: dict[str, object] = {}
 
     def _ids(self, part: str) -> list[int]:
@@ -68,25 +68,33 @@ class PieceEncoder:
             self.rest[part] = self.tokenizer.encode(part, add_special_tokens=False).ids
         return self.rest[part]
 
-    def _direct(self, missing: list[str], made: dict) -> list[str]:
-        """Puts the plain pieces' values into ``made``; returns the others."""
-        others, tokenize, value = [], self.model.tokenize, self.value
-        for piece in missing:
-            word = piece.rstrip(MARKS)
-            bare = word[1:] if word[:1] in (" ", "\n") else word
-            if not bare.isalpha() or max(bare) > "\u024f":
-                others.append(piece)
-                continue
-            before = [] if word[0] != "\n" else self._ids("\n")
-            spelled = ("\u0120" if word[0] == " " else "") + (bare if bare.isascii() else bare.encode().decode("latin-1").translate(BYTE_NAMES))
-            ids = before + [t.id for t in tokenize(spelled)]
-            made[piece] = value(ids if len(word) == len(piece) else ids + self._ids(piece[len(word) :]))
-        return others
+    def _direct(self, piece: str):
+        """A plain piece's value, None for others."""
+        word = piece.rstrip(MARKS)
+        first = word[:1]
+        bare = word[1:] if first == " " or first == "\n" else word
+        if not bare.isalpha():
+            return None
+        if bare.isascii():
+            spelled = bare
+        elif max(bare) <= "\u024f":
+            spelled = bare.encode().decode("latin-1").translate(BYTE_NAMES)
+        else:
+            return None
+        ids = [t.id for t in self.model.tokenize("\u0120" + spelled if first == " " else spelled)]
+        if first == "\n":
+            ids = self._ids("\n") + ids
+        return self.value(ids if len(word) == len(piece) else ids + self._ids(piece[len(word) :]))
+
+    def one(self, piece: str):
+        """The value of a piece that the younger generation doesn't have."""
+        found = self.old.get(piece)
+        if found is None:
+            found = self._direct(piece)
+        return self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids) if found is None else found
 
     def _encode(self, missing: list[str]) -> dict:
         at, made = 0, {}
-        if self.model is not None:
-            missing = self._direct(missing, made)
         while at < len(missing):
             end, size = at, 0
             while end < len(missing) and (end == at or size + len(missing[end]) <= self.batch):
@@ -99,9 +107,11 @@ class PieceEncoder:
 
     def values(self, texts: list[str]) -> list:
         """For each text an iterator over the values of its pieces, in order; to be used before the next call."""
-        parts = [pieces(t) for t in texts]
         if len(self.young) > self.held:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Known(self) if self.model is not None else {}
+        if self.model is not None:
+            return [map(self.young.__getitem__, pieces(t)) for t in texts]
+        parts = [pieces(t) for t in texts]
         known, old = self.young, self.old
         missing = set().union(*parts).difference(known)
         if missing:
@@ -111,6 +121,18 @@ class PieceEncoder:
         return [map(known.__getitem__, own) for own in parts]
 
 
+class _Known(dict):
+    """Values of pieces; one that is missing is made when it is asked for."""
+
+    def __init__(self, encoder: PieceEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str):
+        found = self[piece] = self.encoder.one(piece)
+        return found
+
+
 def by_size(texts: list[str], most: int = 1 << 18):
     """Consecutive groups of texts of at most ``most`` characters; a longer text is a group of its own."""
     group: list[str] = []

@@ -49,7 +49,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .url_filters import filter_urls
 
-    events = spark.createDataFrame(list(URL_EVENTS), "key string, day string, listed boolean")
+    rows = ", ".join(f"('{key}', date'{day}', {str(listed).lower()})" for key, day, listed in URL_EVENTS)
+    events = spark.sql(f"select * from values {rows} as t(key, day, listed)")
     day = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod("page_id", F.lit(365)).cast("int"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
     found = filter_urls(pages, events)

@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op10_source_mixing": sql.source_mixing()}
+    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op5_minhash": sql.near_duplicates(), "op10_source_mixing": sql.source_mixing()}

@@ -71,3 +71,16 @@ p as (select page_id, url, date '2024-01-01' + (page_id % 365)::int as fetched,
 m as (select p.*, (select list(struct_pack(n := -length(v.key), key := v.key, since := v.since) order by -length(v.key), v.key) from v where listed and p.fetched >= v.since and (v.until is null or p.fetched < v.until)
  and (case when contains(v.key, '/') then starts_with(regexp_replace(p.host || path, '/+', '/', 'g') || '/', v.key || '/') else p.host = v.key or ends_with(p.host, '.' || v.key) end)) as found from p)
 select page_id, url, fetched::varchar as fetched, host, coalesce(len(found), 0)::bigint as n_active, found is not null as blocked, found[1].key as entry, found[1].since::varchar as listed_on from m"""
+
+
+def near_duplicates(percent: int = 85) -> str:
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select distinct doc_id, shingle from (select doc_id, array_to_string(ws[i : i + 4], ' ') as shingle from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)
+ union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4)),
+n as (select w.doc_id, count(s.shingle)::bigint as n from w left join s using (doc_id) group by w.doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= {percent} * (x.n + y.n - shared)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, n as n_shingles, least(doc_id, coalesce(least_b, doc_id)) as component_id, doc_id = least(doc_id, coalesce(least_b, doc_id)) as kept
+from n left join (select a, min(b) as least_b from r group by a) m on m.a = n.doc_id"""

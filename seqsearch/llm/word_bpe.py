@@ -137,7 +137,7 @@ def _gather(batches: Iterator[pa.RecordBatch]):
 class WordTable:
     """Looks words up in the files of ``_lay_out``. What it found is held in two generations of bounded size."""
 
-    def __init__(self, out: str, path: str, held: int = 120 << 20):
+    def __init__(self, out: str, path: str, held: int = 64 << 20):
         self.out, self.held = out, held
         self.pieces = piece_table(path)
         self.ids: dict[bytes, bytes] = {}
@@ -204,7 +204,7 @@ def piece_table(path: str) -> list[bytes]:
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker that lives on lets go of the table of the query before
 def _table(out: str, path: str) -> WordTable:
     return WordTable(out, path)
 

@@ -12,7 +12,8 @@ class SearchConfig:
     """Validated options of a search.
 
     ``search_space``: "slots" counts residues and one terminator for each sequence; "padded" rounds that up by volumes as a
-    packed store does; a number is taken as it is. ``must_include``: pairs of a regular expression and how often it has to
+    packed store does; a number is taken as it is. ``bin_origin``: "subject" counts diagonals from each subject's start,
+    "volume" from its ``s_offset`` in the store, so that bins fall as they do over concatenated sequences. ``must_include``: pairs of a regular expression and how often it has to
     occur. ``min_votes`` raises the vote threshold where it is larger. ``keep_illegal_seeds`` and ``blank_tail_a`` bring back
     two seeding habits of older programs: seeds with illegal residues, and no seeds of three equal letters before A's.
     """
@@ -25,6 +26,7 @@ class SearchConfig:
     band: int = 8
     must_include: tuple[tuple[str, int], ...] = ()
     search_space: str | int = "slots"
+    bin_origin: str = "subject"
     min_votes: int = 0
     dedupe: bool = False
     detailed: bool = True
@@ -41,5 +43,7 @@ class SearchConfig:
             raise ValueError("max_align must be 0 (all) or more")
         if not (self.search_space in ("slots", "padded") or isinstance(self.search_space, int)):
             raise ValueError("search_space must be 'slots', 'padded' or a number")
+        if self.bin_origin not in ("subject", "volume"):
+            raise ValueError("bin_origin must be 'subject' or 'volume'")
         if any(len(x) != 2 or int(x[1]) < 1 for x in self.must_include):
             raise ValueError("must_include takes pairs of an expression and a count of at least 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
@@ -14,6 +14,11 @@ from .seeds import seeds
 BROADCAST_KMERS = 2_000_000
 
 
+def origin(cfg: SearchConfig) -> Column:
+    """Where a subject's positions count from."""
+    return F.col("s_offset").cast("long") if cfg.bin_origin == "volume" else F.lit(0)
+
+
 def seed_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
     """``q_id, q_len, q_pos, s_id, s_pos`` of every exact match of a seed.
 
@@ -21,7 +26,8 @@ def seed_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> Dat
     leave the task that made them.
     """
     of_q = seeds(queries, "q_id", "q_seq", cfg.k, ("q_len",), cfg.keep_illegal_seeds, cfg.blank_tail_a).withColumnRenamed("pos", "q_pos")
-    of_s = seeds(spread(subjects.select("s_id", "s_seq")), "s_id", "s_seq", cfg.k, (), cfg.keep_illegal_seeds, False).withColumnRenamed("pos", "s_pos")
+    of_s = seeds(spread(subjects.select("s_id", "s_seq", origin(cfg).alias("origin"))), "s_id", "s_seq", cfg.k, ("origin",), cfg.keep_illegal_seeds, False)
+    of_s = of_s.select("s_id", "kmer", (F.col("pos") + F.col("origin")).alias("s_pos"))
     return of_s.join(small(of_q, BROADCAST_KMERS), "kmer").select("q_id", "q_len", "q_pos", "s_id", "s_pos")
 
 

@@ -93,5 +93,6 @@ select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-
         "multi_db_union": " union all ".join(f"select '{t}' as db, count(*) as n_seqs, sum(length({_CLEAN.format(c)}))::bigint as residues from {t}" for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))),
         "id_extract": "select doc_id as s_id, 'doc' || doc_id as name from documents",
         "banded_sw_score": _banded(),
+        "gap_stats": f"select count(*) as hits, 0::bigint as wrong from ({_banded()})",
         "identity_stats": f"select id, {gaps('-')} as gaps, {gaps('-+')} as gap_open, {differ} as mismatch, (length(q_aln) - {differ})::int as identity from (values {pairs}) t(id, q_aln, s_aln)",
     }

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, tidy
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 n, key, band, sig = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "n", "key", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, bands array<long>, sig binary")
+    return docs.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, bands array<long>, sig binary")
 
 
 def _least(n, percent: int):
@@ -134,7 +134,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     joined = pairs.join(a, "u").join(b, "v").where((100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu")))
-    return joined.select("u", "v", "su", "sv", F.least("nu", "nv").alias("n")).mapInArrow(run, "u binary, v binary")
+    return joined.select("u", "v", "su", "sv", F.least("nu", "nv").alias("n")).mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = cut(involved.join(nodes.select("node", "id"), "node").select("id").distinct(), "involved")
     texts = docs.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("text")
-    return cut(texts.mapInArrow(keyed, "node binary, text string"), "texts").dropDuplicates(["node"])
+    return cut(texts.mapInArrow(tidy(keyed), "node binary, text string"), "texts").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
 
     texts = _texts(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), nodes, docs)
     joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-    return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
+    return joined.select("u", "v", "x", "y").mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def _across(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), pa.int64()) for k in key] + [pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["b", "i", "j", "u", "v"])
 
     with_sigs = blocks.join(nodes.select("node", "n", "sig"), "node").select("b", "i", "j", "node", "label", "few", "n", "sig")
-    return _dealt(with_sigs).mapInArrow(run, "b long, i long, j long, u binary, v binary")
+    return _dealt(with_sigs).mapInArrow(tidy(run), "b long, i long, j long, u binary, v binary")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def _in_place(dense: DataFrame, blocks: DataFrame, nodes: DataFrame, docs: DataF
     rows = cut(blocks.join(dense, ["b", "i", "j"]), "dense")
     texts = _texts(rows.select("node").distinct(), nodes, docs)
     whole = rows.join(texts, "node").join(nodes.select("node", "n"), "node").select("b", "i", "j", "node", "label", "few", "n", "text")
-    return _dealt(whole).mapInArrow(run, "u binary, v binary")
+    return _dealt(whole).mapInArrow(tidy(run), "u binary, v binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

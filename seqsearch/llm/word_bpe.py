@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_NAMES, MARKS
-from .common import cut, map_blob, scratch, words, write_blob
+from .common import cut, map_blob, scratch, tidy, words, write_blob
 from .token_counts import load_once
 
 #: Words whose ids are looked up in mapped files: 4M words take about 200 MB of shared page cache.
@@ -92,7 +92,7 @@ def encode_words(counted: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 8192)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_encoder(path).ids(part.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
 
-    return counted.mapInArrow(run, "word string, n long, ids binary")
+    return counted.mapInArrow(tidy(run), "word string, n long, ids binary")
 
 
 def _frequent(table: DataFrame, most: int) -> int:
@@ -117,7 +117,7 @@ def _lay_out(table: DataFrame, out: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([len(held[0])], pa.int64())], names=["n"])
 
     key = F.xxhash64("word")
-    laid = table.select(key.alias("key"), "word", "ids", F.pmod(key, F.lit(_SHARDS)).cast("int").alias("shard")).repartitionById(_SHARDS, "shard").sortWithinPartitions("key").select("key", "word", "ids").mapInArrow(run, "n long")
+    laid = table.select(key.alias("key"), "word", "ids", F.pmod(key, F.lit(_SHARDS)).cast("int").alias("shard")).repartitionById(_SHARDS, "shard").sortWithinPartitions("key").select("key", "word", "ids").mapInArrow(tidy(run), "n long")
     laid.agg(F.sum("n")).collect()
 
 
@@ -262,7 +262,7 @@ def _rare_places(keyed: DataFrame, out: str, path: str) -> DataFrame:
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["row", "pos", "word"])
 
-    return keyed.select("row", "text").mapInArrow(run, "row long, pos int, word string")
+    return keyed.select("row", "text").mapInArrow(tidy(run, _table.cache_clear), "row long, pos int, word string")
 
 
 def _assemble(source: DataFrame, out: str, path: str, with_ids: bool) -> DataFrame:
@@ -293,4 +293,4 @@ def _assemble(source: DataFrame, out: str, path: str, with_ids: bool) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(tidy(run, _table.cache_clear), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

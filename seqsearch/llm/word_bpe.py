@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import BYTE_NAMES, MARKS
+from .chunks import BYTE_NAMES, MARKS, load
 from .common import cut, map_blob, scratch, tidy, words, write_blob
 from .token_counts import load_once
 
@@ -83,6 +83,12 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _forget() -> None:
+    """A worker that has encoded its words needs no tokenizer to look words up."""
+    _encoder.cache_clear()
+    load_once.cache_clear()
+
+
 def encode_words(counted: DataFrame, path: str) -> DataFrame:
     """``word, n, ids`` (32-bit little-endian), each row's word encoded once."""
 
@@ -92,7 +98,7 @@ def encode_words(counted: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 8192)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_encoder(path).ids(part.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
 
-    return counted.mapInArrow(tidy(run), "word string, n long, ids binary")
+    return counted.mapInArrow(tidy(run, _forget), "word string, n long, ids binary")
 
 
 def _frequent(table: DataFrame, most: int) -> int:
@@ -137,7 +143,7 @@ def _gather(batches: Iterator[pa.RecordBatch]):
 class WordTable:
     """Looks words up in the files of ``_lay_out``. What it found is held in two generations of bounded size."""
 
-    def __init__(self, out: str, path: str, held: int = 64 << 20):
+    def __init__(self, out: str, path: str, held: int = 24 << 20):
         self.out, self.held = out, held
         self.pieces = piece_table(path)
         self.ids: dict[bytes, bytes] = {}
@@ -200,7 +206,7 @@ class WordTable:
 @lru_cache(maxsize=2)
 def piece_table(path: str) -> list[bytes]:
     """The id-to-piece table: a row for each id of the vocabulary."""
-    tokenizer = load_once(path)
+    tokenizer = load(path)  # not kept: the table is all that decoding needs
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
 

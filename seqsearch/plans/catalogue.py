@@ -21,7 +21,8 @@ from . import search as searching
 K = 5
 #: Volumes of this many slots in the layout queries, so that even the smallest table has several.
 VOLUME = 100_000
-#: Alignment queries take bins with at least this many votes.
+#: must_include_window, banded_sw_score and gap_stats take bins with at least this many votes, as their SQL does; searches take
+#: all above the threshold.
 STRONG = 20
 INCLUDE = (("T[A-Z]{1,3}E", 2),)
 
@@ -196,7 +197,7 @@ def identity_stats(spark, sf_dir):
 
 def _hits(spark, sf_dir, **options):
     q, s = _queries(spark, sf_dir), _subjects(spark, sf_dir)
-    return searching.search(q, s, _config(min_votes=STRONG, **options)), q
+    return searching.search(q, s, _config(**options)), q
 
 
 def _layout(fmt: int):

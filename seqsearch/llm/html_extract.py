@@ -4,7 +4,8 @@ Markup is stripped into *lines*, one for each block of the page; what lies in me
 forms, adverts, notices, reader comments, scripts and styles leaves an empty line. Lengths are summed over windows of
 ``WINDOW`` lines. From the densest window the text is followed up to its surge and down to its dive: the points
 where the sums fall to nothing. All lines between are kept. Where the densest window lies in an article (or main)
-element, that element's first and last lines are the surge and the dive, so that short paragraphs at its ends stay.
+element that holds nearly all text between them (``OWN``), that element's first and last lines are the surge and the dive,
+so that short paragraphs at its ends stay. Else nothing between is left out, and articles that reach into it are kept whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A line of which more than this share is link text has no length: a menu without a mark.
 LINKS = 0.5
+#: An article with at least this share of the text between surge and dive stands for all of it.
+OWN = 0.9
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -177,14 +180,18 @@ def lines(page: str) -> list[tuple[str, float, int]]:
     return out
 
 
+def densest(lengths: list[int], window: int = WINDOW) -> int:
+    """The first line with text of the densest window of lines; some line must have text."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    peak = max(range(len(sums)), key=sums.__getitem__)
+    return next(i for i in range(peak, len(lengths)) if lengths[i])
+
+
 def surge_and_dive(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
     """The first line and the line after the last of the text around the densest window of lines."""
     if not any(lengths):
         return 0, 0
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    peak = max(range(len(sums)), key=sums.__getitem__)
-    first = next(i for i in range(peak, len(lengths)) if lengths[i])
-    last = first
+    first = last = densest(lengths, window)
     while first > 0 and any(lengths[max(0, first - window) : first]):
         first -= 1
     while last + 1 < len(lengths) and any(lengths[last + 1 : last + 1 + window]):
@@ -206,12 +213,12 @@ def main_text(page: str | None) -> str:
     first, end = surge_and_dive(lengths)
     total: dict[int, int] = {}
     for n, (_, _, a) in zip(lengths[first:end], found[first:end], strict=True):
-        if a:
+        if a and n:
             total[a] = total.get(a, 0) + n
-    if total:
-        best = max(total, key=lambda a: (total[a], -a))
-        return "\n".join(t for t, _, a in found if a == best and t)
-    return "\n".join(t for t, _, _ in found[first:end] if t)
+    own = found[densest(lengths)][2] if total else 0
+    if own and total[own] >= OWN * sum(lengths[first:end]):
+        return "\n".join(t for t, _, a in found if a == own and t)
+    return "\n".join(t for i, (t, _, a) in enumerate(found) if t and (first <= i < end or a in total))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

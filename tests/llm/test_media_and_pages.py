@@ -148,6 +148,20 @@ def test_link_lists_are_no_text():
     assert html_extract.main_text(f"{menu}<p>{'The text itself. ' * 20}</p><p>More of it.</p>{menu}") == " ".join(["The text itself."] * 20) + "\nMore of it."
 
 
+def test_articles_beside_the_text():
+    long, other, teaser = ("".join(f"<p>{w} {'words of it ' * n}</p>" for w in ("one", "two", "three")) for n in (30, 12, 1))
+    plain = lambda *parts: "\n".join(" ".join(x.split()) for p in parts for x in re.split("</?p>", p) if x.strip())
+    # the body in a div or section, an article near it or within it
+    assert html_extract.main_text(f"<div>{long}</div><article>{teaser}</article>") == plain(long, teaser)
+    assert html_extract.main_text(f"<section>{long}<article><a href=x>read more of this</a></article>{other}</section>") == plain(long, "read more of this", other)
+    # siblings, of which none is nearly all
+    assert html_extract.main_text(f"<article>{other}</article><article>{long}</article>{other}") == plain(other, long, other)
+    # an article that is nearly all keeps its far ends, as it does among others
+    far = f"<article><p>head</p>{'<nav>n</nav>' * 4}{long}</article>"
+    assert html_extract.main_text(f"{far}<p>read also</p>") == plain("head", long)
+    assert html_extract.main_text(f"{far}<div>{other}</div>") == plain("head", long, other)
+
+
 def test_surge_and_dive():
     assert html_extract.surge_and_dive([]) == html_extract.surge_and_dive([0, 0]) == (0, 0)
     assert html_extract.surge_and_dive([5, 0, 0, 0, 50, 0, 60, 1, 0, 0, 0, 9]) == (4, 8)

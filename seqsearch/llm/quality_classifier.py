@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-1. A text's *terms* are pairs and triples of neighbouring character classes (letters by case, digits, each ASCII mark, white
-   space), hashed, and a few facts about its words: repeats, share of distinct words, length. One pass over its bytes.
+1. A text's *terms* are its words, lower-cased and hashed; and beside them pairs and triples of neighbouring character classes
+   (letters by case, digits, each ASCII mark, white space), hashed, and a few facts about its words: repeats, share of
+   distinct words, length. The whole text counts.
 2. A bounded sample of labelled documents (``SAMPLE`` rows, in the order of a hash of their ids) is turned into tf-idf
    vectors, and these are reduced to ``DIMS`` latent dimensions by subspace iteration.
 3. Projection and sample vectors, of a size fixed by these parameters, are broadcast; every document's cosine with every
@@ -15,6 +16,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,12 @@ _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_{|}~"
 _KINDS = 6 + len(_MARKS)
 _TRIPLES = 1024
 _FACTS = 24
-TERMS = _KINDS * _KINDS + _TRIPLES + _FACTS
+_SHAPES = _KINDS * _KINDS + _TRIPLES + _FACTS
+_WORDS = 4096
+#: Shapes come first, then words.
+TERMS = _SHAPES + _WORDS
+#: A word is what stands between marks, digits and white space.
+_SPLIT = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
 def _classes() -> np.ndarray:
@@ -76,15 +83,38 @@ def terms(text: str | None) -> np.ndarray:
     out[at + 1] = sum(map(eq, found, found[2:]))
     out[at + 2 + min(9, 10 * distinct // (n + 1))] = n * (0.2 if n < 40 else 0.5)
     out[at + 12 + min(9, int(np.log2(n + 1)))] = n * 0.1
+    spoken = (text or "").lower().encode().translate(_SPLIT).split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, spoken), np.uint64, len(spoken))
+    out[_SHAPES:] = np.bincount((hashes % np.uint64(_WORDS)).astype(np.int64), minlength=_WORDS)
+    return out
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """The places of counts that aren't 0, and these."""
+    at = np.flatnonzero(counts).astype(np.uint16)
+    return at.tobytes() + counts[at].tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for row, data in zip(out, rows, strict=True):
+        n = len(data) // 6
+        row[np.frombuffer(data[: 2 * n], np.uint16)] = np.frombuffer(data[2 * n :], np.float32)
     return out
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
-    """Term shares, square roots taken, times idf, of length 1; empty rows stay 0."""
-    x = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
-    if idf is not None:
-        x = x * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Shares of shapes and of words, square roots taken, times idf, each part and then the whole of length 1; empty rows stay 0."""
+    out = np.empty(counts.shape, np.float32)
+    for at in range(0, len(counts), 256):
+        for part in (slice(0, _SHAPES), slice(_SHAPES, TERMS)):
+            own = counts[at : at + 256, part]
+            x = np.sqrt(own / np.maximum(own.sum(axis=1, keepdims=True), 1e-9))
+            if idf is not None:
+                x *= idf[part]
+            out[at : at + 256, part] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        out[at : at + 256] /= np.maximum(np.linalg.norm(out[at : at + 256], axis=1, keepdims=True), 1e-9)
+    return out
 
 
 class Model:
@@ -132,14 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([terms(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "label", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([packed(terms(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "label", "terms"])
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
     # repeated ids in the documents may give more rows than ids: the bound holds for rows too
     rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary").limit(2 * sample).collect())[:sample]
-    counts = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, TERMS)
+    counts = unpacked([r[2] for r in rows])
     return Model(counts, np.array([r[1] for r in rows], np.float32))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -32,6 +33,23 @@ def test_held_out_accuracy(spark):
     assert len(held) > 40 and right / len(held) > 0.95
 
 
+def test_texts_that_differ_in_words_alone(spark):
+    """Good and bad texts of the same punctuation, casing and lengths: only the vocabulary tells them apart."""
+    rng = random.Random(3)
+    good, bad, both = (["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(300)] for _ in range(3))
+    text = lambda own: " ".join(" ".join(rng.choice(own if rng.random() < 0.5 else both) for _ in range(8)).capitalize() + "." for _ in range(rng.randint(5, 30)))
+    docs = spark.createDataFrame([(i, text(good if i % 2 else bad)) for i in range(600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    held = quality_classifier.classify(docs, quality_classifier.fit(docs, labels)).where("held_out").collect()
+    assert len(held) > 80 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) / len(held) > 0.95
+
+
+def test_counts_are_carried_whole():
+    counts = np.stack([quality_classifier.terms(t) for t in ("", "one", "One two, two!\nthree", "a b " * 500)])
+    assert (quality_classifier.unpacked([quality_classifier.packed(c) for c in counts]) == counts).all()
+    assert quality_classifier.unpacked([]).shape == (0, quality_classifier.TERMS)
+
+
 def test_scores_depend_on_the_text_alone(spark):
     docs, labels = tables(spark)
     model = quality_classifier.fit(docs, labels)

@@ -202,7 +202,7 @@ def _hits(spark, sf_dir, **options):
 
 def _layout(fmt: int):
     def query(spark, sf_dir):
-        hits, q = _hits(spark, sf_dir, max_align=10)
+        hits, q = _hits(spark, sf_dir)
         return sinks.with_headers(sinks.rendered(hits, fmt), q, fmt)
 
     query.__doc__ = f"A14 to A20: layout {fmt}"
@@ -211,7 +211,7 @@ def _layout(fmt: int):
 
 def search_hits(spark, sf_dir):
     """Ranked alignments with all their columns"""
-    return _hits(spark, sf_dir, max_align=10, min_score=40)[0]
+    return _hits(spark, sf_dir, min_score=40)[0]
 
 
 def search_must_include(spark, sf_dir):

@@ -68,3 +68,16 @@ def test_weak_candidates_must_include(spark, tmp_path):
     path = stored(spark, tmp_path, [" ".join([head, *words(rng, 8)])], docs)
     found = catalogue.search_must_include(spark, path).collect()
     assert [(r["s_id"], r["rank"]) for r in found] == [(0, 1)] and "TACEQWTGHE" in found[0]["s_ori"]
+
+
+def test_all_copies_are_reported(spark, tmp_path):
+    """A passage in thirty documents has thirty hits and more in every layout, not the first ten."""
+    rng = random.Random(4)
+    passage = words(rng, 14)
+    items, docs = [" ".join(passage)], [" ".join([*words(rng, 3), *passage, *words(rng, 3)]) for _ in range(30)]
+    expected = brute(items, docs)
+    path, queries = stored(spark, tmp_path, items, docs), catalogue.queries()
+    got = queries["search_hits"](spark, path).collect()
+    assert {(r["q_id"], r["s_id"], r["bin"]) for r in got} == {k for k, v in expected.items() if v[1] >= 40} and {r["s_id"] for r in got} == set(range(30))
+    for name in LAYOUTS:
+        assert sorted(r["rank"] for r in queries[name](spark, path).collect() if r["rank"]) == list(range(1, len(expected) + 1))

@@ -7,11 +7,14 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_kernel import plain
 
 from seqsearch.functions.scoring import K, LAMBDA, LN2
 from seqsearch.plans import catalogue
+from seqsearch.sources import store
 
+SF = "/root/testdata/sf0.001"
 LAYOUTS = ("search_m8", "search_pairwise", "search_fasta", "search_extended", "search_a3m", "search_reduced")
 
 
@@ -81,3 +84,12 @@ def test_all_copies_are_reported(spark, tmp_path):
     assert {(r["q_id"], r["s_id"], r["bin"]) for r in got} == {k for k, v in expected.items() if v[1] >= 40} and {r["s_id"] for r in got} == set(range(30))
     for name in LAYOUTS:
         assert sorted(r["rank"] for r in queries[name](spark, path).collect() if r["rank"]) == list(range(1, len(expected) + 1))
+
+
+def test_positions_of_all_subjects(spark):
+    """The first and last slot of each subject, and of the terminator behind it."""
+    laid = store.layout(catalogue._subjects(spark, SF).select("s_id", "s_len"), max_residues=catalogue.VOLUME).cache()
+    asked = laid.select(F.explode(F.array("s_offset", F.col("s_offset") + F.greatest(F.col("s_len") - 1, F.lit(0)), F.col("s_offset") + F.col("s_len"))).alias("pos")).distinct()
+    got = {r["pos"]: (r["s_id"], r["s_pos"]) for r in store.position_to_subject(asked, laid).collect()}
+    expected = {r["s_offset"] + p: (r["s_id"], p) for r in laid.collect() for p in {0, max(r["s_len"] - 1, 0), r["s_len"]}}
+    assert got == expected

@@ -149,6 +149,9 @@ def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = cut(involved.join(nodes.select("node", "id"), "node").select("id").distinct(), "involved")
     texts = docs.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("text")
+    if not ids.where("id is null").isEmpty():
+        # nodes of which no row has an id; not joined, as all would meet in one task
+        texts = texts.union(docs.where("id is null").select("text"))
     return cut(texts.mapInArrow(tidy(keyed), "node binary, text string"), "texts").dropDuplicates(["node"])
 
 

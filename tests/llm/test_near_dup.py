@@ -158,3 +158,13 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_without_id_link_others(spark):
+    """1 and 2 are alike only through a near copy that has no id."""
+    a = [f"word{i}" for i in range(200)]
+    b = a[:-10] + [f"end{i}" for i in range(10)]
+    c = [f"begin{i}" for i in range(10)] + b[10:]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (3, "another text that is like none of them")]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, True), None: (1, False), 2: (1, False), 3: (3, True)}

@@ -167,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
-    # repeated ids in the documents may give more rows than ids: the bound holds for rows too
-    rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary").limit(2 * sample).collect())[:sample]
+    made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
+    # of rows that repeat an id one counts, whatever the order they come in, so the sample is of different documents
+    rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in made.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).collect())
     counts = unpacked([r[2] for r in rows])
     return Model(counts, np.array([r[1] for r in rows], np.float32))
 

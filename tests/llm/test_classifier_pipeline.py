@@ -44,6 +44,15 @@ def test_texts_that_differ_in_words_alone(spark):
     assert len(held) > 80 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) / len(held) > 0.95
 
 
+def test_repeated_ids_count_once(spark):
+    """An id that most rows repeat takes no place of other documents in the sample."""
+    docs = spark.createDataFrame([(i, f"text number {i} of some") for i in range(100)] + [(1, f"again {i}") for i in range(300)], "doc_id long, text string").coalesce(1).orderBy(F.desc(F.expr("doc_id = 1")))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    chosen = labels.where(~quality_classifier.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(60).collect()
+    model = quality_classifier.fit(docs, labels.where(F.col("doc_id").isin([r["doc_id"] for r in chosen] + [1])), sample=60)
+    assert len(model.labels) == 60 and 20 < model.labels.sum() < 40
+
+
 def test_counts_are_carried_whole():
     counts = np.stack([quality_classifier.terms(t) for t in ("", "one", "One two, two!\nthree", "a b " * 500)])
     assert (quality_classifier.unpacked([quality_classifier.packed(c) for c in counts]) == counts).all()

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
 
 SAMPLE = 4000
 DIMS = 48
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
-    made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
+    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
     # of rows that repeat an id one counts, whatever the order they come in, so the sample is of different documents
     rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in made.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).collect())
     counts = unpacked([r[2] for r in rows])
@@ -195,7 +194,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())] if keep else [batch.column(0), pa.array(made, pa.float64())], names=[*batch.schema.names, name] if keep else ["id", name])
 
     if keep:
-        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])).where(F.col(name) >= least).drop(name)
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])).where(F.col(name) >= least).drop(name)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias(text_col))
-    made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, _score double")
+    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, _score double")
     return made.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))

@@ -1,15 +1,17 @@
 """BPE with word ends, by a table of distinct words.
 
-1. Spark splits the texts at ASCII white space and counts each distinct word (partial counts before the shuffle,
-   so that a word in a third of all places is one row a task).
-2. Each distinct word is encoded once, in Arrow batches, and its row is written to a *word table*.
-3. Ids go back to the words' places by position. The ``table_words`` most frequent words are laid out as sorted
-   arrays in files of the shared folder, which tasks map into memory (their size is bounded by that parameter);
-   rarer words, if there are any, take the second way, a shuffle join on the word, and come back to
-   their document as (position, ids).
-4. Decoding joins ids with the id-to-piece table, which has one row for each id of the vocabulary.
-
-The word tokenizer drops white space, so a text's ids are its words' ids, one after the other.
+1. Texts are cut into *blocks* of consecutive rows of about ``BLOCK`` bytes. In the task that reads it, a block's words
+   are split at ASCII white space and made distinct; a word's place in that list is its code in the block.
+2. The distinct words of all blocks are shuffled by word, so that each distinct word of the corpus is encoded once,
+   whatever number of blocks has it. A word in a third of all places is one row a block.
+3. Its ids go back to the blocks that asked, by a second shuffle, and to their places in the block's list by position:
+   flat files with an index by the block's digest, one file for each task.
+4. The texts are read again. A block of which the digest is found takes its ids from there by code; the texts stay
+   where they are read, and no task sees more of the word table than the words of its own block.
+5. Decoding joins ids with the id-to-piece table, which has one row for each id of the vocabulary, by id.
+
+The word tokenizer drops white space, so a text's ids are its words' ids, one after the other. A block that isn't found
+(a source that gives its rows in another order when it is read again) is encoded where it is; the result is the same.
 """
 
 from __future__ import annotations
@@ -21,28 +23,63 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BYTE_NAMES, MARKS, load
-from .common import cut, map_blob, scratch, tidy, words, write_blob
+from .chunks import BYTE_NAMES, Held, as_bytes, buffers, by_size, load, plain_words
+from .common import Blob, open_fs, parts_for, scratch
 from .token_counts import load_once
 
-#: Words whose ids are looked up in mapped files: 4M words take about 200 MB of shared page cache.
-TABLE_WORDS = 1 << 22
-_SHARDS = 64
+#: Bytes of texts in a block; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Bytes of texts, as they are stored, for each task that encodes words.
+PART = 16 << 20
+#: Bytes of words and ids that such a task holds; far more than a part has.
+HELD = 128 << 20
 
 
-def _digest(word: bytes) -> int:
-    """What Spark's ``xxhash64`` gives for the word, without its sign; the low bits tell the shard."""
-    return xxhash.xxh64_intdigest(word, seed=42)
-
-
-def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, n`` of every distinct word; nulls and empty texts have none."""
-    return df.select(F.explode(words(text_col)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.Table]:
+    """The rows in blocks: each ends with the row at which its texts (column ``text``) reach ``most`` bytes. How the rows
+    come in batches makes no difference."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, before + most - size, "left")) + 1
+            held.append(batch.slice(at, stop - at))
+            if stop > batch.num_rows:
+                size += int(ends[-1]) - before
+                break
+            yield pa.Table.from_batches(held)
+            at, before, held, size = stop, int(ends[stop - 1]), [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def split(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts: how many words each has, the words' codes, and the distinct words. Nulls have none."""
+    column = pc.fill_null(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0), "")
+    lists = pc.ascii_split_whitespace(column)
+    every, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    some = pc.not_equal(pc.binary_length(every), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    coded = every.filter(some).dictionary_encode()
+    return np.diff(before[ends - ends[0]]), coded.indices.to_numpy(), coded.dictionary
+
+
+def digest(words: pa.Array) -> bytes:
+    """128 bits that tell a block's list of words."""
+    data, at = buffers(words)
+    h = xxhash.xxh3_128(np.diff(at).tobytes())
+    h.update(data[at[0] : at[-1]])
+    return h.digest()
+
+
+def _shard(block: bytes, parts: int) -> int:
+    return int.from_bytes(block[:8], "little") % parts
 
 
 class WordEncoder:
@@ -52,29 +89,35 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_once(path)
         self.model = self.tokenizer.model
-        self.marks: dict[str, list[int]] = {"": []}
+        self.marks: dict[bytes, list[int]] = {b"": []}
 
-    def ids(self, found: list[str]) -> list[bytes]:
+    def ids(self, found: list[bytes]) -> list[bytes]:
+        """32-bit little-endian ids of each word."""
+        words, plain = plain_words(found)
         out: list[bytes | None] = []
         tokenize, marks = self.model.tokenize, self.marks
-        for word in found:
-            bare = word.rstrip(MARKS)
-            if not bare.isalpha() or max(bare) > "\u00ff":
+        for whole, word, direct in zip(found, words, plain.tolist(), strict=True):
+            if not direct:
                 out.append(None)
                 continue
-            rest = word[len(bare) :]
+            rest = whole[len(word) :]
             if rest not in marks:
                 if len(marks) > 10_000:
                     marks.clear()
-                    marks[""] = []
-                marks[rest] = self.tokenizer.encode(rest, add_special_tokens=False).ids
-            bare = bare.lower()
-            spelled = bare if bare.isascii() else bare.encode().decode("latin-1").translate(BYTE_NAMES)
+                    marks[b""] = []
+                marks[rest] = self.tokenizer.encode(rest.decode(), add_special_tokens=False).ids
+            if word.isascii():
+                spelled = word.lower().decode()
+            else:
+                text = word.decode()
+                if max(text) > "\u00ff":
+                    out.append(None)
+                    continue
+                spelled = text.lower().encode().decode("latin-1").translate(BYTE_NAMES)
             out.append(array("I", [t.id for t in tokenize(spelled)] + marks[rest]).tobytes())
-        others = [i for i, ids in enumerate(out) if ids is None]
-        encoded = self.tokenizer.encode_batch_fast([found[i] for i in others], add_special_tokens=False)
-        for i, e in zip(others, encoded, strict=True):
-            out[i] = array("I", e.ids).tobytes()
+        for some in by_size([i for i, ids in enumerate(out) if ids is None], lambda i: len(found[i])):
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([found[i].decode() for i in some], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
         return out
 
 
@@ -83,158 +126,161 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _forget() -> None:
-    """A worker that has encoded its words needs no tokenizer to look words up."""
-    _encoder.cache_clear()
-    load_once.cache_clear()
+def distinct_words(texts: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """``bucket, block, place, words``: the words of each block, dealt out to buckets by their hash; ``place`` holds
+    their codes, ``words`` the words with a space between them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 0, block):
+            _, _, words = split(rows.column(0))
+            if not len(words):
+                continue
+            own = digest(words)
+            plain = words.cast(pa.binary())
+            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, as_bytes(plain)), np.uint64, len(plain)) % np.uint64(parts)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(parts)))
+            ends = np.append(first, len(order)).astype(np.int32)
+            blobs = pc.binary_join(pa.LargeListArray.from_arrays(ends.astype(np.int64), plain.take(pa.array(order)).cast(pa.large_binary())), pa.scalar(b" ", pa.large_binary()))
+            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * 4), pa.py_buffer(order.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]].astype(np.int32)), pa.array([own] * len(first), pa.binary()), places, blobs.cast(pa.binary())], names=["bucket", "block", "place", "words"])
 
-def encode_words(counted: DataFrame, path: str) -> DataFrame:
-    """``word, n, ids`` (32-bit little-endian), each row's word encoded once."""
+    return texts.mapInArrow(run, "bucket int, block binary, place binary, words binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_encoder(path).ids(part.column(0).to_pylist()), pa.binary())], names=["word", "n", "ids"])
 
-    return counted.mapInArrow(tidy(run, _forget), "word string, n long, ids binary")
+def encode_words(asked: DataFrame, path: str, parts: int, held: int = HELD) -> DataFrame:
+    """``shard, block, place, sizes, ids``: for each row of ``asked``, which come bucket by bucket, its words' ids (32-bit
+    little-endian) and how many each has. A word of several rows is encoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Held(_encoder(path).ids, held)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words = batch.column(2)[at].as_py().split(b" ")
+                known.know(words)
+                made = list(map(known.__getitem__, words))
+                own = batch.column(0)[at].as_py()
+                sizes = np.fromiter(map(len, made), "<u4", len(made)) // 4
+                yield pa.RecordBatch.from_arrays([pa.array([_shard(own, parts)], pa.int32()), pa.array([own], pa.binary()), batch.column(1).slice(at, 1), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(made)], pa.binary())], names=["shard", "block", "place", "sizes", "ids"])
 
-def _frequent(table: DataFrame, most: int) -> int:
-    """The smallest count such that at most ``most`` words are as frequent or more: from a histogram of counts."""
-    kinds = table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    above = kinds.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))))
-    least = above.where(F.col("above") <= most).agg(F.min("n")).first()[0]
-    return 2**62 if least is None else int(least)
+    return asked.select("block", "place", "words").mapInArrow(run, "shard int, block binary, place binary, sizes binary, ids binary")
 
 
-def _lay_out(table: DataFrame, out: str) -> None:
-    """Write words, ids and their places, sorted by the words' digests, as ``_SHARDS`` groups of flat files."""
+def write_blocks(encoded: DataFrame, out: str, parts: int) -> None:
+    """Bring each block's ids together, in the order of its words, in ``out/<shard>``: the blocks one after the other
+    (number of words, sizes, ids), then an index (digests, offsets) and the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _gather(batches)
-        k = TaskContext.get().partitionId()
-        write_blob(f"{out}/{k}.key", [held[0].tobytes()])
-        for name, parts in (("word", held[1]), ("ids", held[2])):
-            sizes = np.concatenate([np.diff(o) for o, _ in parts]) if parts else np.empty(0, np.int64)
-            write_blob(f"{out}/{k}.{name}", [data for _, data in parts])
-            write_blob(f"{out}/{k}.{name}-at", [np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([len(held[0])], pa.int64())], names=["n"])
-
-    key = F.xxhash64("word")
-    laid = table.select(key.alias("key"), "word", "ids", F.pmod(key, F.lit(_SHARDS)).cast("int").alias("shard")).repartitionById(_SHARDS, "shard").sortWithinPartitions("key").select("key", "word", "ids").mapInArrow(tidy(run), "n long")
-    laid.agg(F.sum("n")).collect()
-
-
-def _gather(batches: Iterator[pa.RecordBatch]):
-    """Of batches of (key, word, ids) the keys, and of words and ids the offsets and bytes of each batch."""
-    keys, columns = [], ([], [])
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-        for column, parts in zip(batch.columns[1:], columns, strict=True):
-            wide = column.cast(pa.large_binary())
-            _, offsets, data = wide.buffers()
-            o = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
-            parts.append((o.copy(), bytes(data)[o[0] : o[-1]] if data is not None else b""))
-    return (np.concatenate(keys) if keys else np.empty(0, np.int64)), *columns
-
-
-class WordTable:
-    """Looks words up in the files of ``_lay_out``. What it found is held in two generations of bounded size."""
-
-    def __init__(self, out: str, path: str, held: int = 24 << 20):
-        self.out, self.held = out, held
-        self.pieces = piece_table(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        self.old: tuple[dict, dict] = ({}, {})
-        self.size = 0
-        self.shards: dict[int, tuple] = {}
-
-    def shard(self, k: int) -> tuple:
-        if k not in self.shards:
-            key, word, word_at, ids, ids_at = (np.asarray(map_blob(f"{self.out}/{k}.{name}", kind)) for name, kind in (("key", "<i8"), ("word", "u1"), ("word-at", "<i8"), ("ids", "u1"), ("ids-at", "<i8")))
-            self.shards[k] = key, memoryview(word), word_at, memoryview(ids), ids_at
-        return self.shards[k]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b" ".join([self.pieces[i] for i in array("I", ids)])
-
-    def put(self, word: bytes, ids: bytes) -> None:
-        self.ids[word], self.decoded[word] = ids, (decoded := self.decode(ids))
-        self.size += len(word) + len(ids) + len(decoded) + 250
-
-    def find(self, missing: list[bytes]) -> None:
-        """Puts those that the files have; equal digests are told apart by the words."""
-        digests = np.fromiter(map(_digest, missing), np.uint64, len(missing))
-        shards = (digests % np.uint64(_SHARDS)).astype(np.int64)
-        signed = digests.view(np.int64)
-        order = np.argsort(shards, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
-            if not len(own):
-                continue
-            keys, text, text_at, ids, ids_at = self.shard(int(shards[own[0]]))
-            at = np.searchsorted(keys, signed[own], "left")
-            n = np.searchsorted(keys, signed[own], "right") - at
-            own, at, n = own[n > 0], at[n > 0], n[n > 0]
-            for i, j, k, a, b, c, d in zip(own.tolist(), at.tolist(), n.tolist(), text_at[at].tolist(), text_at[at + 1].tolist(), ids_at[at].tolist(), ids_at[at + 1].tolist(), strict=True):
-                word = missing[i]
-                if text[a:b] == word:
-                    self.put(word, bytes(ids[c:d]))
-                    continue
-                for m in range(j + 1, j + k):
-                    if text[text_at[m] : text_at[m + 1]] == word:
-                        self.put(word, bytes(ids[ids_at[m] : ids_at[m + 1]]))
-
-    def know(self, texts: list[list[bytes]]) -> set[bytes]:
-        """Makes the words of ``texts`` known in ``ids`` and ``decoded``; returns those that the files don't have."""
-        if self.size > self.held:
-            self.old, self.ids, self.decoded, self.size = (self.ids, self.decoded), {}, {}, 0
-        missing = set().union(*texts).difference(self.ids)
-        if missing:
-            again = [w for w in missing if w in self.old[0]]
-            for w in again:
-                self.ids[w], self.decoded[w] = self.old[0][w], self.old[1][w]
-                self.size += len(w) + len(self.ids[w]) + len(self.decoded[w]) + 250
-            missing.difference_update(again)
-            self.find(list(missing))
-            missing.difference_update(self.ids)
-        return missing
+        blob, own, rows = None, None, []
+        digests, offsets = [], [0]
+
+        def put() -> None:
+            place, sizes, ids = (np.frombuffer(b"".join(x), "<u4") for x in zip(*rows, strict=True))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32), pa.array(ids))
+            order = np.empty(len(place), np.int64)
+            order[place] = np.arange(len(place))
+            data = (np.array([len(place)], "<u8").tobytes(), sizes[order].tobytes(), lists.take(pa.array(order)).flatten().to_numpy().tobytes())
+            digests.append(own)
+            offsets.append(offsets[-1] + sum(map(len, data)))
+            for x in data:
+                blob.write(x)
+
+        try:
+            for batch in batches:
+                for shard, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    blob = blob or Blob(f"{out}/{shard}")
+                    if block != own and rows:
+                        put()
+                        rows = []
+                    own = block
+                    if row[0] not in (r[0] for r in rows):  # equal blocks ask for the same words
+                        rows.append(row)
+            if blob:
+                put()
+                blob.write(b"".join(digests) + np.array(offsets, "<u8").tobytes() + np.array([len(digests)], "<u8").tobytes())
+                blob.done()
+                blob = None
+                yield pa.RecordBatch.from_pydict({"n": [len(digests)]})
+        finally:
+            if blob:
+                blob.drop()
+
+    laid = encoded.repartitionById(parts, "shard").sortWithinPartitions("block", "place")
+    laid.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def find_block(out: str, block: bytes, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sizes and ids of a block's words, read from its file; None if there is no such block."""
+    filesystem, path = open_fs(f"{out}/{_shard(block, parts)}")
+    size = filesystem.get_file_info(path).size
+    if not size:
+        return None
+    with filesystem.open_input_file(path) as f:
+        n = int(np.frombuffer(f.read_at(8, size - 8), "<u8")[0])
+        index = f.read_at(16 * n + 8 * (n + 1), size - 8 - 16 * n - 8 * (n + 1))
+        at = next((i for i in range(n) if index[16 * i : 16 * i + 16] == block), None)
+        if at is None:
+            return None
+        begin, end = np.frombuffer(index, "<u8", 2, 16 * n + 8 * at).tolist()
+        data = f.read_at(end - begin, begin)
+    words = int(np.frombuffer(data, "<u8", 1)[0])
+    return np.frombuffer(data, "<u4", words, 8), np.frombuffer(data, "<u4", -1, 8 + 4 * words)
 
 
 @lru_cache(maxsize=2)
-def piece_table(path: str) -> list[bytes]:
-    """The id-to-piece table: a row for each id of the vocabulary."""
+def piece_table(path: str) -> pa.Array:
+    """The id-to-piece table: a row for each id of the vocabulary, at the place of its number."""
     tokenizer = load(path)  # not kept: the table is all that decoding needs
-    return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    return pa.array([(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], pa.large_binary())
 
 
-@lru_cache(maxsize=1)  # a worker that lives on lets go of the table of the query before
-def _table(out: str, path: str) -> WordTable:
-    return WordTable(out, path)
+def decode_ids(path: str, ids: pa.LargeListArray) -> pa.Array:
+    """The texts of lists of ids: a join with the id-to-piece table by id, pieces with a space between them."""
+    pieces = piece_table(path).take(ids.values)
+    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, pieces), pa.scalar(b" ", pa.large_binary()))
 
 
-def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, ids: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, block: int = BLOCK) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256`` of every row; with ``ids`` also ``ids`` (array of int).
 
     Encodes as the tokenizer of ``path`` (a .json with a word-wise pre-tokenizer that drops white space) with
     ``add_special_tokens=False``, and decodes as its ``decode(ids, skip_special_tokens=False)``: pieces joined by a
-    space. Null and empty texts, and texts of white space, have no ids. A null id stays null; repeated rows
-    stay repeated; an empty table gives an empty one. Other columns are not read.
+    space. Null and empty texts, and texts of white space, have no ids. A text of more than ``block`` bytes is a block of
+    its own, so memory is bounded by that or by the longest text. A null id stays null; repeated rows stay repeated; an
+    empty table gives an empty one. There are no ties. Other columns are not read, so extra ones may have any names.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = cut(encode_words(word_counts(source), path), "word-table")
-    least = _frequent(table, table_words)
-    out = scratch(df.sparkSession, "word-files")
-    _lay_out(table.where(F.col("n") >= least), out)
-    rare = table.where(F.col("n") < least)
-    if rare.isEmpty():
-        return _assemble(source, out, path, ids).withColumnRenamed("id", id_col)
-    keyed = cut(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    joined = _rare_places(keyed, out, path).join(rare.select("word", F.col("ids").alias("word_ids")), "word")
-    found = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "word_ids"))).alias("rare"))
-    return _assemble(keyed.join(found, "row", "left").select("id", "text", "rare"), out, path, ids).withColumnRenamed("id", id_col)
+    parts = parts_for(source, PART)
+    out = scratch(df.sparkSession, "word-blocks")
+    asked = distinct_words(source.select("text"), parts, block).repartitionById(parts, "bucket")
+    write_blocks(encode_words(asked, path, parts), out, parts)
+    return _assemble(source, out, path, parts, ids, block).withColumnRenamed("id", id_col)
+
+
+def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool, block: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1, block):
+            n_words, codes, words = split(rows.column(1))
+            found = find_block(out, digest(words), parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
+            if found is None:
+                made = _encoder(path).ids(as_bytes(words))
+                found = np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), "<u4")
+            sizes, of_words = found
+            lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.array(of_words))
+            every = lists.take(pa.array(codes)).flatten()
+            ends = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n_words)])]
+            texts = decode_ids(path, pa.LargeListArray.from_arrays(ends, every))
+            blob, at = memoryview(every.to_numpy()).cast("B") if len(every) else b"", (ends * 4).tolist()
+            ids_sha = [hashlib.sha256(blob[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+            columns = [rows.column(0).combine_chunks(), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns += [pa.ListArray.from_arrays(ends.astype(np.int32), every.cast(pa.int32()))]
+                names += ["ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,61 +288,14 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     A join of the ids, by position, with the id-to-piece table, done within each row's array: the table has one row
     for each id of the vocabulary. Null arrays give null, empty ones the empty text; ids beyond the table are an error.
+    Null ids of rows stay null, repeated rows stay repeated, other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(path)
         for batch in batches:
-            made = [None if ids is None else b" ".join([pieces[i] for i in ids]).decode() for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["id", "decoded"])
+            lists = batch.column(1).cast(pa.large_list(pa.int64()))
+            texts = decode_ids(path, pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]), pa.int64()), lists.flatten()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), texts.cast(pa.large_string()), pa.scalar(None, pa.large_string())).cast(pa.string())], names=["id", "decoded"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
-
-
-def _rare_places(keyed: DataFrame, out: str, path: str) -> DataFrame:
-    """``row, pos, word`` of the words that the files don't have: only these are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(out, path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                rare = table.know(texts)
-                made = [(row, pos, w.decode()) for row, own in zip(batch.column(0).to_pylist(), texts, strict=True) for pos, w in enumerate(own) if w in rare] if rare else []
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["row", "pos", "word"])
-
-    return keyed.select("row", "text").mapInArrow(tidy(run, _table.cache_clear), "row long, pos int, word string")
-
-
-def _assemble(source: DataFrame, out: str, path: str, with_ids: bool) -> DataFrame:
-    has_rare = "rare" in source.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(out, path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                if rare := table.know(texts):
-                    if not has_rare:
-                        raise KeyError(f"{len(rare)} words are not in the word table")
-                    for own, found in zip(texts, batch.column(2).to_pylist(), strict=True):
-                        for r in found or ():
-                            if own[r["pos"]] not in table.ids:
-                                table.put(own[r["pos"]], r["word_ids"])
-                ids_of, text_of = table.ids.__getitem__, table.decoded.__getitem__
-                blobs = [b"".join(map(ids_of, own)) for own in texts]
-                decoded = [b" ".join(filter(None, map(text_of, own))) for own in texts]
-                columns = [batch.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in blobs]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(blobs), np.int32)))]
-                    names += ["ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(tidy(run, _table.cache_clear), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

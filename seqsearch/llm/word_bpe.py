@@ -4,8 +4,8 @@
    are split at ASCII white space and made distinct; a word's place in that list is its code in the block.
 2. The distinct words of all blocks are shuffled by word, so that each distinct word of the corpus is encoded once,
    whatever number of blocks has it. A word in a third of all places is one row a block.
-3. Its ids go back to the blocks that asked, by a second shuffle, and to their places in the block's list by position:
-   flat files with an index by the block's digest, one file for each task.
+3. Its ids go back to the blocks that asked, by a second shuffle, and to their places in the block's list by position
+   (a word's bucket, then its code): flat files with an index by the block's digest, one file for each task.
 4. The texts are read again. A block of which the digest is found takes its ids from there by code; the texts stay
    where they are read, and no task sees more of the word table than the words of its own block.
 5. Decoding joins ids with the id-to-piece table, which has one row for each id of the vocabulary, by id.
@@ -82,6 +82,17 @@ def _shard(block: bytes, parts: int) -> int:
     return int.from_bytes(block[:8], "little") % parts
 
 
+def dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each of a block's words, by its hash, and the order of the words by bucket and code."""
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, as_bytes(words)), np.uint64, len(words)) % np.uint64(parts)
+    return bucket.astype(np.int32), np.argsort(bucket, kind="stable")
+
+
+def _unit(path: str) -> tuple[str, int]:
+    """How ids are stored between the steps, and the number that ends a word's ids: one that is no id."""
+    return ("<u2", 0xFFFF) if load_once(path).get_vocab_size(with_added_tokens=True) < 0xFFFF else ("<u4", 0xFFFFFFFF)
+
+
 class WordEncoder:
     """Ids of single words. Words of Latin-1 letters, perhaps before ASCII punctuation, go to the library's BPE model as
     its normalizer and pre-tokenizer would give them to it; all others take the whole way, in batches."""
@@ -127,76 +138,64 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def distinct_words(texts: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
-    """``bucket, block, place, words``: the words of each block, dealt out to buckets by their hash; ``place`` holds
-    their codes, ``words`` the words with a space between them."""
+    """``bucket, block, words``: the words of each block, dealt out to buckets; a space between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 0, block):
             _, _, words = split(rows.column(0))
             if not len(words):
                 continue
-            own = digest(words)
-            plain = words.cast(pa.binary())
-            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, as_bytes(plain)), np.uint64, len(plain)) % np.uint64(parts)
-            order = np.argsort(bucket, kind="stable")
-            first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(parts)))
-            ends = np.append(first, len(order)).astype(np.int32)
-            blobs = pc.binary_join(pa.LargeListArray.from_arrays(ends.astype(np.int64), plain.take(pa.array(order)).cast(pa.large_binary())), pa.scalar(b" ", pa.large_binary()))
-            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * 4), pa.py_buffer(order.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]].astype(np.int32)), pa.array([own] * len(first), pa.binary()), places, blobs.cast(pa.binary())], names=["bucket", "block", "place", "words"])
+            bucket, order = dealt(words, parts)
+            first = np.flatnonzero(np.diff(bucket[order], prepend=np.int32(-1)))
+            own = words.cast(pa.large_binary()).take(pa.array(order))
+            blobs = pc.binary_join(pa.LargeListArray.from_arrays(np.append(first, len(order)), own), pa.scalar(b" ", pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), pa.array([digest(words)] * len(first), pa.binary()), blobs.cast(pa.binary())], names=["bucket", "block", "words"])
 
-    return texts.mapInArrow(run, "bucket int, block binary, place binary, words binary")
+    return texts.mapInArrow(run, "bucket int, block binary, words binary")
 
 
 def encode_words(asked: DataFrame, path: str, parts: int, held: int = HELD) -> DataFrame:
-    """``shard, block, place, sizes, ids``: for each row of ``asked``, which come bucket by bucket, its words' ids (32-bit
-    little-endian) and how many each has. A word of several rows is encoded once."""
+    """``shard, block, bucket, ids``: for each row of ``asked``, which come bucket by bucket, its words' ids, each word's
+    with an end mark. A word of several rows is encoded once."""
+    unit, mark = _unit(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Held(_encoder(path).ids, held)
+        encoder, end = _encoder(path), np.array([mark], unit).tobytes()
+
+        def make(words: list[bytes]) -> list[bytes]:
+            return [np.frombuffer(ids, "<u4").astype(unit).tobytes() + end if unit != "<u4" else ids + end for ids in encoder.ids(words)]
+
+        known = Held(make, held)
         for batch in batches:
-            for at in range(batch.num_rows):
-                words = batch.column(2)[at].as_py().split(b" ")
-                known.know(words)
-                made = list(map(known.__getitem__, words))
-                own = batch.column(0)[at].as_py()
-                sizes = np.fromiter(map(len, made), "<u4", len(made)) // 4
-                yield pa.RecordBatch.from_arrays([pa.array([_shard(own, parts)], pa.int32()), pa.array([own], pa.binary()), batch.column(1).slice(at, 1), pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(made)], pa.binary())], names=["shard", "block", "place", "sizes", "ids"])
+            for bucket, block, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                asked = words.split(b" ")
+                known.know(asked)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([_shard(block, parts)], pa.int32()), "block": pa.array([block], pa.binary()), "bucket": pa.array([bucket], pa.int32()), "ids": pa.array([b"".join(map(known.__getitem__, asked))], pa.binary())})
 
-    return asked.select("block", "place", "words").mapInArrow(run, "shard int, block binary, place binary, sizes binary, ids binary")
+    return asked.select("bucket", "block", "words").mapInArrow(run, "shard int, block binary, bucket int, ids binary")
 
 
 def write_blocks(encoded: DataFrame, out: str, parts: int) -> None:
-    """Bring each block's ids together, in the order of its words, in ``out/<shard>``: the blocks one after the other
-    (number of words, sizes, ids), then an index (digests, offsets) and the number of blocks."""
+    """Bring each block's ids together, bucket by bucket, in ``out/<shard>``: the blocks one after the other, then an index
+    (digests, offsets) and the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, own, rows = None, None, []
+        blob, last = None, None
         digests, offsets = [], [0]
-
-        def put() -> None:
-            place, sizes, ids = (np.frombuffer(b"".join(x), "<u4") for x in zip(*rows, strict=True))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32), pa.array(ids))
-            order = np.empty(len(place), np.int64)
-            order[place] = np.arange(len(place))
-            data = (np.array([len(place)], "<u8").tobytes(), sizes[order].tobytes(), lists.take(pa.array(order)).flatten().to_numpy().tobytes())
-            digests.append(own)
-            offsets.append(offsets[-1] + sum(map(len, data)))
-            for x in data:
-                blob.write(x)
-
         try:
             for batch in batches:
-                for shard, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(batch.num_rows):
+                    shard, block, bucket = (c[at].as_py() for c in batch.columns[:3])
                     blob = blob or Blob(f"{out}/{shard}")
-                    if block != own and rows:
-                        put()
-                        rows = []
-                    own = block
-                    if row[0] not in (r[0] for r in rows):  # equal blocks ask for the same words
-                        rows.append(row)
+                    if (block, bucket) == last:  # equal blocks ask for the same words
+                        continue
+                    if not digests or block != digests[-1]:
+                        digests.append(block)
+                        offsets.append(offsets[-1])
+                    last = block, bucket
+                    blob.write(data := batch.column(3)[at].as_py())
+                    offsets[-1] += len(data)
             if blob:
-                put()
                 blob.write(b"".join(digests) + np.array(offsets, "<u8").tobytes() + np.array([len(digests)], "<u8").tobytes())
                 blob.done()
                 blob = None
@@ -205,26 +204,33 @@ def write_blocks(encoded: DataFrame, out: str, parts: int) -> None:
             if blob:
                 blob.drop()
 
-    laid = encoded.repartitionById(parts, "shard").sortWithinPartitions("block", "place")
+    laid = encoded.repartitionById(parts, "shard").sortWithinPartitions("block", "bucket")
     laid.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def find_block(out: str, block: bytes, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sizes and ids of a block's words, read from its file; None if there is no such block."""
-    filesystem, path = open_fs(f"{out}/{_shard(block, parts)}")
-    size = filesystem.get_file_info(path).size
+def find_block(out: str, path: str, words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """How many ids each of a block's words has, and the ids, read from the block's file; None if there is none."""
+    own = digest(words)
+    filesystem, name = open_fs(f"{out}/{_shard(own, parts)}")
+    size = filesystem.get_file_info(name).size
     if not size:
         return None
-    with filesystem.open_input_file(path) as f:
+    with filesystem.open_input_file(name) as f:
         n = int(np.frombuffer(f.read_at(8, size - 8), "<u8")[0])
         index = f.read_at(16 * n + 8 * (n + 1), size - 8 - 16 * n - 8 * (n + 1))
-        at = next((i for i in range(n) if index[16 * i : 16 * i + 16] == block), None)
+        at = next((i for i in range(n) if index[16 * i : 16 * i + 16] == own), None)
         if at is None:
             return None
         begin, end = np.frombuffer(index, "<u8", 2, 16 * n + 8 * at).tolist()
         data = f.read_at(end - begin, begin)
-    words = int(np.frombuffer(data, "<u8", 1)[0])
-    return np.frombuffer(data, "<u4", words, 8), np.frombuffer(data, "<u4", -1, 8 + 4 * words)
+    unit, mark = _unit(path)
+    stream = np.frombuffer(data, unit)
+    ends = np.flatnonzero(stream == mark)
+    lists = pa.LargeListArray.from_arrays(np.append(0, ends - np.arange(len(ends))), pa.array(stream[stream != mark].astype("<u4")))
+    place = np.empty(len(words), np.int64)
+    place[dealt(words, parts)[1]] = np.arange(len(words))
+    lists = lists.take(pa.array(place))
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
 
 
 @lru_cache(maxsize=2)
@@ -261,7 +267,7 @@ def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 1, block):
             n_words, codes, words = split(rows.column(1))
-            found = find_block(out, digest(words), parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
+            found = find_block(out, path, words, parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
             if found is None:
                 made = _encoder(path).ids(as_bytes(words))
                 found = np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), "<u4")

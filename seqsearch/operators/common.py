@@ -17,6 +17,11 @@ def spread(df: DataFrame) -> DataFrame:
     Cutting a sequence into k-mers multiplies its bytes, so the work should be spread before. At scale the scan has
     splits enough and nothing is shuffled.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        if plan.getClass().getSimpleName().startswith("Repartition"):
+            return df  # dealt out already
+        plan = plan.children().head()
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()

@@ -1,47 +1,139 @@
-"""Seeds vote for diagonals; bins of diagonals with enough votes become candidates."""
+"""Seeds vote for diagonals; bins of diagonals with enough votes become candidates.
+
+Queries up to ``INDEXED`` letters are indexed by seeds, in groups of about ``GROUP`` letters, and the subjects are held
+against each group where they are read: a subject's votes are counted and filtered in the task that has the subject, so no
+seed, hit or vote is shuffled. Larger query sets are joined on the k-mer by shuffle; both ways give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import SearchConfig
 from ..functions.scoring import diagonal_bin, threshold
-from .common import small, spread
+from .common import spread
+from .seedindex import SeedIndex
 from .seeds import seeds
 
-#: Query k-mers are broadcast up to this number (about 100 bytes each in memory), and joined by shuffle beyond it.
-BROADCAST_KMERS = 2_000_000
+#: Letters of queries that are indexed at all: they pass through the driver, and each group reads the subjects once.
+INDEXED = 64_000_000
+#: Letters of a group of queries: an index of about 16 bytes each, and a table of at most 60 MB, in each worker.
+GROUP = 2_000_000
 
 
 def origin(cfg: SearchConfig) -> Column:
     """Where a subject's positions count from."""
-    return F.col("s_offset").cast("long") if cfg.bin_origin == "volume" else F.lit(0)
+    return F.col("s_offset").cast("long") if cfg.bin_origin == "volume" else F.lit(0).cast("long")
 
 
-def seed_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """``q_id, q_len, q_pos, s_id, s_pos`` of every exact match of a seed.
+def _least(cfg: SearchConfig) -> Column:
+    return F.greatest(threshold("q_len", cfg.k, cfg.filter_level) + 1, F.lit(cfg.min_votes).cast("long"))
+
+
+def _groups(queries: DataFrame, cfg: SearchConfig, most: int) -> Iterator[list]:
+    """The queries with a seed, ``most`` letters at a time."""
+    group, size = [], 0
+    for row in queries.where(F.length("q_seq") >= cfg.k).select("q_id", "q_len", "q_seq", _least(cfg).alias("least")).toLocalIterator():
+        if group and size + len(row["q_seq"]) > most:
+            yield group
+            group, size = [], 0
+        group.append(row)
+        size += len(row["q_seq"])
+    if group:
+        yield group
+
+
+def indexed(queries: DataFrame, most: int = INDEXED) -> bool:
+    return (queries.agg(F.sum(F.length("q_seq").cast("long"))).first()[0] or 0) <= most
+
+
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of sequences, a byte for each letter; nulls are empty."""
+    plain = column.fill_null("")
+    lengths = pa.compute.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(x.encode("ascii", "replace") for x in plain.to_pylist()), np.uint8)
+    if int(lengths.sum()) != len(data):  # other characters than ASCII
+        lengths = pa.compute.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    return data, lengths
+
+
+def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str, group: int = GROUP) -> DataFrame:
+    """``what``: "hits", "votes" or "candidates" of the subjects against each group of queries."""
+    source = spread(subjects.select("s_id", "s_seq", origin(cfg).alias("origin")))
+    q_type, s_type = queries.schema["q_id"].dataType.simpleString(), subjects.schema["s_id"].dataType.simpleString()
+    head = f"q_id {q_type}, q_len int"
+    columns = {"hits": f"{head}, q_pos int, s_id {s_type}, s_pos long", "votes": f"{head}, s_id {s_type}, bin long, votes long", "candidates": f"{head}, s_id {s_type}, bin long, votes long, s_len int, begin int, window string"}[what]
+    names = [x.split()[0] for x in columns.split(", ")]
+
+    def scan(rows: list):
+        ids = pa.array([r["q_id"] for r in rows], to_arrow_type(queries.schema["q_id"].dataType))
+        lengths = np.array([r["q_len"] for r in rows], np.int32)
+        sequences, least = [r["q_seq"] for r in rows], [r["least"] for r in rows]
+        k, illegal, blank, band = cfg.k, cfg.keep_illegal_seeds, cfg.blank_tail_a, cfg.band
 
-    An inner equi-join on the k-mer; with a query side of checked size it is broadcast, so the subjects' k-mers never
-    leave the task that made them.
-    """
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex(sequences, k, illegal, blank, least if what == "candidates" else None)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    data, n = _letters(batch.column(1))
+                    start = batch.column(2).to_numpy(zero_copy_only=False)
+                    first = np.cumsum(n) - n
+                    if what == "hits":
+                        for q, q_pos, s, s_pos in index.hits(data, n):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(lengths[q]), pa.array(q_pos), batch.column(0).take(pa.array(s)), pa.array(s_pos + start[s])], names=names)
+                        continue
+                    for q, s, place, votes in index.votes(data, n, start):
+                        made = [ids.take(pa.array(q)), pa.array(lengths[q]), batch.column(0).take(pa.array(s)), pa.array(place), pa.array(votes)]
+                        if what == "candidates":
+                            # the part of the subject that the band, or the pre-filter's window, can reach
+                            diagonal = place * 8 + 3 - start[s]
+                            begin = np.clip(diagonal - band - lengths[q], 0, n[s])
+                            end = np.clip(diagonal + band, begin, n[s])
+                            windows = [data[a:b].tobytes() for a, b in zip((first[s] + begin).tolist(), (first[s] + end).tolist(), strict=True)]
+                            made += [pa.array(n[s].astype(np.int32)), pa.array(begin.astype(np.int32)), pa.array(windows, pa.binary()).cast(pa.string())]
+                        yield pa.RecordBatch.from_arrays(made, names=names)
+
+        return source.mapInArrow(run, columns)
+
+    made = [scan(rows) for rows in _groups(queries, cfg, group)]
+    if not made:
+        return queries.sparkSession.createDataFrame([], T._parse_datatype_string(columns))
+    return reduce(DataFrame.unionByName, made)
+
+
+def joined_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``seed_hits`` as an inner equi-join on the k-mer, for query sets of any size."""
     of_q = seeds(queries, "q_id", "q_seq", cfg.k, ("q_len",), cfg.keep_illegal_seeds, cfg.blank_tail_a).withColumnRenamed("pos", "q_pos")
     of_s = seeds(spread(subjects.select("s_id", "s_seq", origin(cfg).alias("origin"))), "s_id", "s_seq", cfg.k, ("origin",), cfg.keep_illegal_seeds, False)
     of_s = of_s.select("s_id", "kmer", (F.col("pos") + F.col("origin")).alias("s_pos"))
-    return of_s.join(small(of_q, BROADCAST_KMERS), "kmer").select("q_id", "q_len", "q_pos", "s_id", "s_pos")
-
+    return of_s.join(of_q, "kmer").select("q_id", "q_len", "q_pos", "s_id", "s_pos")
 
-def votes(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """``q_id, q_len, s_id, bin, votes``: hits counted by query, subject and bin of eight diagonals.
 
-    Counts are partial before the shuffle, and a subject's k-mers are in one task, so what is shuffled is about one row
-    for each bin.
-    """
-    hits = seed_hits(queries, subjects, cfg).select("q_id", "q_len", "s_id", diagonal_bin("q_len", "s_pos", "q_pos").alias("bin"))
+def joined_votes(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
+    hits = joined_hits(queries, subjects, cfg).select("q_id", "q_len", "s_id", diagonal_bin("q_len", "s_pos", "q_pos").alias("bin"))
     return hits.groupBy("q_id", "q_len", "s_id", "bin").agg(F.count(F.lit(1)).alias("votes"))
 
 
+def seed_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``q_id, q_len, q_pos, s_id, s_pos`` of every exact match of a seed."""
+    return _scan(queries, subjects, cfg, "hits") if indexed(queries) else joined_hits(queries, subjects, cfg)
+
+
+def votes(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """``q_id, q_len, s_id, bin, votes``: hits counted by query, subject and bin of eight diagonals."""
+    return _scan(queries, subjects, cfg, "votes") if indexed(queries) else joined_votes(queries, subjects, cfg)
+
+
 def candidates(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Votes above the threshold of the query's length."""
-    least = F.greatest(threshold("q_len", cfg.k, cfg.filter_level) + 1, F.lit(cfg.min_votes).cast("long"))
-    return votes(queries, subjects, cfg).where(F.col("votes") >= least)
+    """Votes above the threshold of the query's length; with ``s_len`` and, where the index is used, the ``window`` of the
+    subject from ``begin`` on that the candidate's band can reach, so that subjects need not be joined again."""
+    return _scan(queries, subjects, cfg, "candidates") if indexed(queries) else joined_votes(queries, subjects, cfg).where(F.col("votes") >= _least(cfg))

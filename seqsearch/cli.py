@@ -19,8 +19,10 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("build-db", help="turn FASTA into a sequence store")
     b.add_argument("fasta")
     b.add_argument("out")
-    b.add_argument("--max-residues", type=int, default=MAX_RESIDUES)
-    s = sub.add_parser("search", help="search queries against one or more stores")
+    b.add_argument("--max-residues", type=int, default=MAX_RESIDUES, help="residues of a volume")
+    b.add_argument("--batch-gb", type=float, help="the same in units of 2 ** 30, at most 4")
+    s = sub.add_parser("search", help="search queries against one or more stores", add_help=False)
+    s.add_argument("--help", action="help", help="show this message")
     s.add_argument("-q", "--query", required=True)
     s.add_argument("-d", "--db", nargs="+", required=True)
     s.add_argument("-o", "--out", required=True)
@@ -32,8 +34,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-output-align", type=int, default=0, help="0: all")
     s.add_argument("--band-width", type=int, default=8)
     s.add_argument("--must-include", nargs="+", default=[], metavar="EXPRESSION COUNT", help="pairs of an expression and a count")
-    for flag in ("--num-threads", "--qit-width", "--hash-size", "--gpu"):
-        s.add_argument(flag, help="taken and ignored: the cluster decides")
+    for flags in (["--num-threads"], ["-w", "--qit-width"], ["-h", "--hash-size"], ["--gpu"]):
+        s.add_argument(*flags, help="taken and ignored: the cluster decides")
     return p
 
 
@@ -48,7 +50,8 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqsearch").getOrCreate()
     if args.command == "build-db":
-        build_db(with_ids(read_fasta(spark, args.fasta, "db"), "s"), args.out, args.max_residues)
+        most = min(int(args.batch_gb * 2**30), 2**32 - 10_000) if args.batch_gb else args.max_residues
+        build_db(with_ids(read_fasta(spark, args.fasta, "db"), "s"), args.out, most)
         return
     cfg = config(args)
     queries = with_ids(read_fasta(spark, args.query, "query"), "q")

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``. A session on one machine that
+    names none gets a temporary one; on a cluster that is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="seqsearch-")
+    return f"{folder.rstrip('/')}/seqsearch/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a hint to broadcast it if it has at most ``most`` rows; else joins shuffle it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

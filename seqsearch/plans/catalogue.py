@@ -14,16 +14,13 @@ from ..config import SearchConfig
 from ..functions import scoring
 from ..operators import align as aligning
 from ..operators import include, rank, seeds, voting
-from ..operators.common import spread
+from ..operators.common import scratch, spread
 from ..sources import fasta, sinks, store
 from . import search as searching
 
 K = 5
 #: Volumes of this many slots in the layout queries, so that even the smallest table has several.
 VOLUME = 100_000
-#: must_include_window, banded_sw_score and gap_stats take bins with at least this many votes, as their SQL does; searches take
-#: all above the threshold.
-STRONG = 20
 INCLUDE = (("T[A-Z]{1,3}E", 2),)
 
 
@@ -112,32 +109,45 @@ def db_stats(spark, sf_dir):
     return store.stats(store.layout(_subjects(spark, sf_dir).select("s_id", "s_len"), max_residues=VOLUME))
 
 
+def volume_rebalance(spark, sf_dir):
+    """The last part in even streams"""
+    return store.layout(_subjects(spark, sf_dir).select("s_id", "s_len"), max_residues=VOLUME, rebalance=True).select("s_id", "s_offset", "part", "stream")
+
+
+def store_roundtrip(spark, sf_dir):
+    """A store that is built and opened again"""
+    out = scratch(spark, "store")
+    store.build_db(_subjects(spark, sf_dir), out, max_residues=VOLUME, rebalance=False)
+    return store.open_db(spark, out).select("s_id", scoring.identifier("s_name").alias("name"), F.md5("s_seq").alias("seq"), F.col("s_len").cast("long").alias("s_len"), "s_offset", F.col("part").cast("long").alias("part"), F.col("stream").cast("long").alias("stream"))
+
+
 def search_space(spark, sf_dir):
     """B11"""
     return store.search_space(db_stats(spark, sf_dir))
 
 
 def position_to_subject(spark, sf_dir):
-    """D3: every 997th slot of the concatenation"""
+    """D3: the first, middle and last slot of each subject, and of the terminator behind it"""
     laid = store.layout(_subjects(spark, sf_dir).select("s_id", "s_len"), max_residues=VOLUME)
-    total = laid.agg(F.max(F.col("s_offset") + F.col("s_len"))).first()[0]
-    return store.position_to_subject(spark.range(0, (total or 0) + 1, 997).select(F.col("id").alias("pos")), laid)
+    places = F.array(F.lit(0), F.expr("s_len div 2"), F.greatest(F.col("s_len") - 1, F.lit(0)), F.col("s_len"))
+    asked = laid.select(F.explode(F.array_distinct(F.transform(places, lambda p: F.col("s_offset") + p))).alias("pos"))
+    return store.position_to_subject(asked, laid)
 
 
-def _strong(spark, sf_dir, **options):
-    cfg = _config(min_votes=STRONG, **options)
+def _candidates(spark, sf_dir, **options):
+    cfg = _config(**options)
     q, s = _queries(spark, sf_dir), _subjects(spark, sf_dir)
     return voting.candidates(q, s, cfg), q, s, cfg
 
 
 def must_include_window(spark, sf_dir):
     """C7, C9"""
-    cands, q, s, cfg = _strong(spark, sf_dir, must_include=INCLUDE)
+    cands, q, s, cfg = _candidates(spark, sf_dir, must_include=INCLUDE)
     return aligning.cropped(cands, q, s, cfg).select("q_id", "s_id", "bin", "votes")
 
 
 def must_include_count(spark, sf_dir):
-    """Matches of the expression in each subject"""
+    """Matches of the expression in each whole subject"""
     return _subjects(spark, sf_dir).select("s_id", F.regexp_count("s_seq", F.lit(INCLUDE[0][0])).cast("long").alias("n"), include.includes(F.col("s_seq"), INCLUDE).alias("enough"))
 
 
@@ -159,6 +169,17 @@ def topn_per_query(spark, sf_dir):
     return rank.best(found.select("q_id", "s_id", "bin", "votes"), 3, (F.desc("votes"), F.asc("s_id"), F.asc("bin"))).select("q_id", "s_id", "bin", "votes", "rank")
 
 
+def search_two_stores(spark, sf_dir):
+    """Two stores, their hits in one ranking; the three best of each query"""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("s_id"), F.concat(F.lit("turn"), F.col("conv_id").cast("string"), F.lit(" "), F.col("role")).alias("s_name"), scoring.normalise("text").alias("s_seq"))
+    paths = []
+    for name, subjects in (("documents", _subjects(spark, sf_dir)), ("conversations", turns.withColumn("s_len", F.length("s_seq")))):
+        paths.append(scratch(spark, name))
+        store.build_db(subjects, paths[-1])
+    found = searching.search(_queries(spark, sf_dir), store.open_db(spark, *paths), _config(max_align=3), store.open_meta(spark, *paths))
+    return found.select("q_id", F.pmod("s_id", F.lit(2)).cast("int").alias("db"), F.expr("s_id div 2").alias("s_id"), "bin", "votes", "score", "evalue", "rank")
+
+
 def multi_db_union(spark, sf_dir):
     """Documents, conversations and pages as three databases"""
     docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("db"), scoring.normalise("text").alias("s_seq"))
@@ -174,16 +195,17 @@ def id_extract(spark, sf_dir):
 
 
 def banded_sw_score(spark, sf_dir):
-    """Score and end of each strong candidate's alignment"""
-    cands, q, s, cfg = _strong(spark, sf_dir, detailed=False)
+    """Score and end of each candidate's alignment"""
+    cands, q, s, cfg = _candidates(spark, sf_dir, detailed=False)
     return aligning.align(cands, q, s, cfg).select("q_id", "s_id", "bin", F.col("score").cast("long"), F.col("q_end").cast("long"), F.col("s_end").cast("long"))
 
 
 def gap_stats(spark, sf_dir):
-    """Of the strong candidates' aligned strings, by expressions, against the aligner's own counts"""
-    cands, q, s, cfg = _strong(spark, sf_dir)
-    found = aligning.align(cands, q, s, cfg)
-    return found.agg(F.count(F.lit(1)).alias("hits"), F.sum(F.when((scoring.gap_count("q_aln", "s_aln") == F.col("gaps")) & (scoring.gap_opens("q_aln", "s_aln") == F.col("gap_open")) & (scoring.mismatches("q_aln", "s_aln") == F.col("mismatch")), 0).otherwise(1)).alias("wrong"))
+    """Of all candidates' aligned strings, counted by expressions; positives as the aligner counts them"""
+    cands, q, s, cfg = _candidates(spark, sf_dir)
+    found = aligning.align(cands, q, s, cfg).withColumn("counted", F.array(scoring.gap_count("q_aln", "s_aln"), scoring.gap_opens("q_aln", "s_aln"), scoring.mismatches("q_aln", "s_aln")))
+    sums = [F.sum(F.col("counted")[i]).alias(name) for i, name in enumerate(("gaps", "gap_opens", "mismatches"))]
+    return found.agg(F.count(F.lit(1)).alias("hits"), *sums, F.sum("positive").alias("positives"))
 
 
 _PAIRS = (("ACD-EF", "ACDWEF"), ("A--CD", "AWWCD"), ("XXBD", "XXDB"), ("-AC-D", "WACWD"), ("MKV", "MRV"))
@@ -224,6 +246,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (seq_normalize, fasta_records, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, db_stats, search_space, position_to_subject, must_include_window, must_include_count, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include)
+    plain = (seq_normalize, fasta_records, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, volume_rebalance, store_roundtrip, db_stats, search_space, position_to_subject, must_include_window, must_include_count, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include, search_two_stores)
     layouts = {"search_m8": 0, "search_pairwise": 1, "search_fasta": 2, "search_extended": 3, "search_a3m": 4, "search_reduced": 5}
     return {f.__name__: f for f in plain} | {name: _layout(fmt) for name, fmt in layouts.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.matrix import blosum62
 from ..functions.scoring import K as EK
 from ..functions.scoring import LAMBDA, LN2
-from .catalogue import INCLUDE, STRONG, VOLUME, _PAIRS
+from .catalogue import INCLUDE, VOLUME, _PAIRS
 from .catalogue import K as SEED
 
 _CLEAN = "upper(regexp_replace(coalesce({}, ''), '[^A-Za-z]', '', 'g'))"
@@ -23,38 +23,90 @@ _HITS = f"{_Q}, {_S}, {_kmers('qk', 'q', 'q_id', 'q_seq', SEED, 'q_len')}, {_kme
 _VOTES = f"{_HITS}, v as (select q_id, q_len, s_id, bin, count(*) as votes from h group by all)"
 
 
-def _cands(least: int = 0) -> str:
-    return f"{_VOTES}, c as (select * from v where votes >= greatest(floor(log10(q_len::double) + 1.0::double + 5 - {SEED})::bigint + 1, {least}))"
+_CANDS = f"{_VOTES}, c as (select * from v where votes >= floor(log10(q_len::double) + 1.0::double + 5 - {SEED})::bigint + 1)"
 
 
 _LAID = f"{_S}, l as (select s_id, s_len::bigint as s_len, coalesce(sum(s_len + 1) over (order by s_id rows between unbounded preceding and 1 preceding), 0)::bigint as s_offset from s), v as (select *, s_offset // {VOLUME} // 16 as part, s_offset // {VOLUME} % 16 as stream from l), d as (select part, stream, count(*) as n_seqs, sum(s_len)::bigint as residues, sum(s_len + 1)::bigint as slots from v group by all)"
 
 
-def _banded(band: int = 8) -> str:
-    """The recurrence as a recursive query: a step for each query residue, a list entry for each offset of the band."""
+def _filled(band: int = 8, ways: bool = False) -> str:
+    """The recurrence as a recursive query over all candidates: a step for each query residue, columns for each offset of the
+    band. ``using key`` holds the last step of each candidate only; with ``ways`` also all steps' ways back, two bits a cell,
+    eight hexadecimal digits a step."""
     width = 2 * band
-    matrix = "[" + ", ".join(str(int(x)) for x in blosum62().ravel()) + "]"
-    cells = f"range(1, {width + 1})"
-    c = f"(t.first + r.i + o)"  # subject position of offset entry o (from 1) at query position i
-    ok = f"({c} >= 1 and {c} <= t.s_len)"
-    pair = f"mx.m[(ascii(t.q_seq[r.i + 1]) - 65) * 26 + ascii(t.s_seq[{c}]) - 65 + 1]"
-    m = f"[case when {ok} then greatest(r.h[o] + {pair}, 0) else 0 end for o in {cells}]"
-    x = f"[case when {ok} and o < {width} then greatest(r.x[o + 1] - 1, r.m[o + 1] - 11, 0) else 0 end for o in {cells}]"
-    y = f"[case when {ok} then greatest(coalesce(list_max([z.m[p] - 10 - (o - p) for p in range(1, o)]), 0), 0) else 0 end for o in {cells}]"
-    zeros = f"[0 for o in {cells}]"
+    cells = range(1, width + 1)
+    matrix = "[" + ", ".join(f"{int(x)}::smallint" for x in blosum62().ravel()) + "]"
+    each = lambda text: ", ".join(text.format(o=o, next=o + 1, last=o - 1) for o in cells)
+    inside = lambda text: f"(case when w{{o}} >= 0 then greatest({text}, 0) else 0 end)::smallint"
+    edge = lambda name, o, text: text.format(o=o, next=o + 1, last=o - 1) + f" as {name}{o}"
+    m = each(inside("h{o} + mx.m[qc * 26 + w{o} + 1]") + " as nm{o}")
+    x = ", ".join(edge("nx", o, inside("x{next} - 1, m{next} - 11") if o < width else "0::smallint") for o in cells)
+    y = ", ".join(edge("ny", o, inside("ny{last} - 1, nm{last} - 11") if o > 1 else "0::smallint") for o in cells)
+    window = ", ".join(f"s{o + 1} as w{o}" for o in range(1, width)) + f", (ascii(substring(piece, i + {width}, 1)) - 65)::smallint as w{width}"
+    first = "case " + " ".join(f"when nh{o} = top then {o}" for o in cells) + " end"
+    start = ", ".join(f"(case when {o} > 1 then ascii(substring(piece, {o} - 1, 1)) - 65 else -1 end)::smallint as s{o}" for o in cells)
+    state = ", ".join(each(f"{c}{{o}}") for c in "smxh")
+    way = " + ".join(f"((case when nh{o} = 0 then 0 when nh{o} = nm{o} then 3 when nh{o} = ny{o} then 2 else 1 end)::bigint << {2 * o - 2})" for o in cells)
+    kept = (", ways", ", ''", f", ways || lpad(to_hex({way}), 8, '0')") if ways else ("", "", "")
+    begin = f"(8 * bin + 3 - q_len + 1 - {band})"
     return f"""
-with recursive {_cands(STRONG)},
-t as materialized (select q_id, c.s_id, bin, q_seq, q.q_len, s_seq, s_len, 8 * bin + 3 - q.q_len + 1 - {band} as first from c join q using (q_id) join s using (s_id)),
+with recursive {_CANDS},
+t as materialized (select *, repeat('!', greatest(-first, 0)::int) || substring(s_seq, greatest(first, 0)::int + 1, greatest(q_len + {width} + least(first, 0), 0)::int) || repeat('!', (q_len + {width})::int) as piece
+ from (select row_number() over () as k, c.q_id, c.s_id, bin, q_seq, q.q_len, s_seq, s_len, {begin.replace('q_len', 'q.q_len')} as first from c join q using (q_id) join s using (s_id))),
 mx as (select {matrix} as m),
-r as (select q_id, s_id, bin, 0 as i, {zeros} as m, {zeros} as x, {zeros} as h, 0 as best, 0 as best_i, 0 as best_o from t
- union all
- select q_id, s_id, bin, i + 1, m, x, h, case when better then top else best end, case when better then i else best_i end, case when better then o else best_o end
+r(k, i, best, best_i, best_o, {state}{kept[0]}) using key (k) as (
+ select k, 0, 0, 0, 0, {start}, {", ".join(each("0::smallint") for _ in range(3))}{kept[1]} from t
+ union
+ select k, i + 1, case when better then top::int else best end, case when better then i else best_i end, case when better then o else best_o end, {each("w{o}")}, {each("nm{o}")}, {each("nx{o}")}, {each("nh{o}")}{kept[2]}
  from (select *, top > best or (top = best and top > 0 and (2 * i + o < 2 * best_i + best_o or (2 * i + o = 2 * best_i + best_o and o > best_o))) as better
- from (select *, list_max(h) as top, list_position(h, list_max(h)) as o
- from (select z.q_id, z.s_id, z.bin, z.i, z.m, z.x, z.best, z.best_i, z.best_o, [greatest(z.m[o], z.x[o], z.y[o]) for o in {cells}] as h
- from (select z.*, {y.replace('t.', 'z.').replace('r.i', 'z.i')} as y from (select t.first, t.s_len, r.q_id, r.s_id, r.bin, r.i, r.best, r.best_i, r.best_o, {m} as m, {x} as x from r join t using (q_id, s_id, bin), mx where r.i < t.q_len) z) z)))),
-e as (select * from r join t using (q_id, s_id, bin) where i = q_len and best > 0)
-select q_id, s_id, bin, best::bigint as score, best_i::bigint as q_end, (first + best_i + best_o - 1)::bigint as s_end from e"""
+ from (select *, {first} as o from (select *, greatest({each("nh{o}")}) as top from (select *, {each("greatest(nm{o}, nx{o}, ny{o}) as nh{o}")}
+ from (select *, {y} from (select *, {x}, {m}
+ from (select r.*, {window}, ascii(substring(q_seq, i + 1, 1)) - 65 as qc from r join (select k, q_seq, q_len, piece from t) t using (k) where i < q_len) z, mx)))))))
+"""
+
+
+def _banded() -> str:
+    return _filled() + "select q_id, s_id, bin, best::bigint as score, best_i::bigint as q_end, (first + best_i + best_o - 1)::bigint as s_end from r join t using (k) where best > 0"
+
+
+def _aligned(where: str = "") -> str:
+    """Adds ``a``: the alignments of all candidates, traced back step by step, with strings, statistics, scores and names;
+    ``z``: those of them that are reported, ranked."""
+    q, s = "string_split(q_aln, '')", "string_split(s_aln, '')"
+    good = "x.q between 'A' and 'Z' and x.s between 'A' and 'Z' and mx.m[(ascii(x.q) - 65) * 26 + ascii(x.s) - 64] > 0"
+    opens = lambda text: f"len(regexp_extract_all({text}, '-+'))"
+    return f"""{_filled(ways=True)},
+b(k, a, o, q_begin, s_begin, q_aln, s_aln) using key (k) as (
+ select k, best_i, best_o, best_i, 0::bigint, '', '' from r where best > 0
+ union
+ select k, case when way = 2 then a else a - 1 end, case way when 1 then o + 1 when 2 then o - 1 else o end, a, first + a + o - 1,
+  case when way = 2 then '-' else substring(q_seq, a + 1, 1) end || q_aln, case when way = 1 then '-' else substring(piece, a + o, 1) end || s_aln
+ from (select b.*, first, q_seq, piece, (('0x' || substring(ways, 8 * a + 1, 8))::bigint >> (2 * o - 2)) & 3 as way from b join (select k, first, q_seq, piece, ways from t join r using (k)) t using (k) where a >= 0 and o between 1 and 16) where way > 0),
+e as (select t.q_id, t.s_id, t.bin, votes, t.q_len, t.s_len, best::int as score, length(q_aln)::int as align_length, q_begin::int as q_begin, best_i::int as q_end, s_begin::int as s_begin, (first + best_i + best_o - 1)::int as s_end,
+  q_aln, s_aln, replace(s_aln, '-', '') as s_ori, list_zip({q}, {s}) as pairs from b join r using (k) join t using (k) join c on t.q_id = c.q_id and t.s_id = c.s_id and t.bin = c.bin),
+f as (select e.* exclude (pairs), len([1 for x in pairs if x[1] <> x[2]])::int as mismatch, [struct_pack(q := x[1], s := x[2]) for x in pairs] as pairs from e),
+a as (select f.* exclude (pairs), (1 - mismatch / align_length::double) * 100 as p_identity, align_length - mismatch as n_identity, len([1 for x in pairs if {good}])::int as positive,
+  ({opens("q_aln")} + {opens("s_aln")})::int as gap_open, (len(regexp_extract_all(q_aln, '-')) + len(regexp_extract_all(s_aln, '-')))::int as gaps,
+  array_to_string([case when x.q = x.s then x.q when {good} then '+' else ' ' end for x in pairs], '') as match, floor(({LAMBDA}::double * score - ln({EK}::double)) / {LN2}::double)::int as bitscore from f, mx),
+n as (select sum(s_len + 1)::double as n from s),
+z as (select *, row_number() over (partition by q_id order by evalue, score desc, s_id, bin)::int as rank, 'item' || q_id || ' benchmark' as q_name, 'doc' || s_id || ' ' || source as s_name
+ from (select a.*, n * q_len * pow(2.0::double, -bitscore) as evalue from a, n) join (select doc_id as s_id, source from documents) using (s_id) where evalue <= 10{where})
+"""
+
+
+def _line(text: str) -> str:
+    return f"{_aligned()} select q_id, rank, {text} as line from z"
+
+
+def _tabbed(*columns: str) -> str:
+    return " || ".join(f"({c})::varchar || chr(9)" for c in columns)
+
+
+def _six(column: str) -> str:
+    return f"format('{{:.6g}}', ({column})::double)"
+
+
+_IDS = "split_part(q_name, ' ', 1)", "split_part(s_name, ' ', 1)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,19 +132,38 @@ select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-
         "short_sequences": f"with {parts} select s_id, length(s_seq)::int as s_len, greatest(length(s_seq) - {SEED} + 1, 0)::bigint as n_kmers from p",
         "seed_join": f"with {_HITS} select q_id, count(*) as hits from h group by q_id",
         "diag_votes": f"with {_VOTES} select q_id, count(*) as bins, sum(votes)::bigint as votes, max(votes) as most, sum(bin * votes)::bigint as weighted from v group by q_id",
-        "vote_filter": f"with {_cands()} select q_id, s_id, bin, votes from c",
+        "vote_filter": f"with {_CANDS} select q_id, s_id, bin, votes from c",
         "volume_layout": f"with {_LAID} select s_id, s_len, s_offset, part, stream from v",
         "db_stats": f"with {_LAID} select * from d",
         "search_space": f"with {_LAID} select sum(slots)::bigint as slots, sum(32 * (slots // 32 + 1))::bigint as padded from d",
-        "position_to_subject": f"with {_LAID}, x as (select unnest(range(0, (select max(s_offset + s_len) from l) + 1, 997)) as pos) select pos, s_id, pos - s_offset as s_pos from x asof join l on pos >= s_offset",
-        "must_include_window": f"with {_cands(STRONG)} select c.q_id, c.s_id, bin, votes from c join q using (q_id) join s using (s_id) where {count(window)} >= {times}",
+        "position_to_subject": f"with {_LAID}, x as (select s_offset + unnest(list_distinct([0, s_len // 2, greatest(s_len - 1, 0), s_len])) as pos from l) select pos, s_id, pos - s_offset as s_pos from x asof join l on pos >= s_offset",
+        "volume_rebalance": f"with {_LAID}, z as (select max(s_offset + s_len) as last from l), y as (select *, last // {16 * VOLUME} as p, (last - last // {16 * VOLUME} * {16 * VOLUME}) // 16 + 1 as even from v, z) select s_id, s_offset, part, case when part = p then (s_offset - p * {16 * VOLUME}) // even else stream end as stream from y",
+        "store_roundtrip": f"with {_LAID} select s_id, 'doc' || s_id as name, md5(s_seq) as seq, v.s_len, s_offset, part, stream from v join s using (s_id)",
+        "must_include_window": f"with {_CANDS} select c.q_id, c.s_id, bin, votes from c join q using (q_id) join s using (s_id) where {count(window)} >= {times}",
         "must_include_count": f"with {_S} select s_id, {count('s_seq')}::bigint as n, {count('s_seq')} >= {times} as enough from s",
         "bitscore_evalue": f"with g as (select unnest(range(0, 500)) as score), b as (select score, 100 as q_len, floor(({LAMBDA}::double * score - ln({EK}::double)) / {LN2}::double)::int as bitscore from g) select score, q_len, bitscore, 1000000::double * q_len * pow(2.0::double, -bitscore) as evalue from b",
         "threshold_grid": f"select q_len, {grid} from (select unnest(range(1, 2000)) as q_len)",
-        "topn_per_query": f"with {_cands()} select * from (select q_id, s_id, bin, votes, row_number() over (partition by q_id order by votes desc, s_id, bin)::int as rank from c) where rank <= 3",
+        "topn_per_query": f"with {_CANDS} select * from (select q_id, s_id, bin, votes, row_number() over (partition by q_id order by votes desc, s_id, bin)::int as rank from c) where rank <= 3",
         "multi_db_union": " union all ".join(f"select '{t}' as db, count(*) as n_seqs, sum(length({_CLEAN.format(c)}))::bigint as residues from {t}" for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))),
         "id_extract": "select doc_id as s_id, 'doc' || doc_id as name from documents",
         "banded_sw_score": _banded(),
-        "gap_stats": f"select count(*) as hits, 0::bigint as wrong from ({_banded()})",
+        "gap_stats": f"{_aligned()} select count(*) as hits, sum(gaps)::bigint as gaps, sum(gap_open)::bigint as gap_opens, sum(mismatch)::bigint as mismatches, sum(positive)::bigint as positives from a",
+        "search_hits": f"{_aligned(' and score >= 40')} select q_id, s_id, bin, votes, q_len, s_len, score, align_length, p_identity, n_identity, mismatch, positive, gap_open, gaps, q_begin, q_end, s_begin, s_end, q_aln, s_aln, s_ori, match, bitscore, evalue, rank, q_name, s_name from z",
+        "search_m8": _line(_tabbed(*_IDS, _six("p_identity"), "align_length", "mismatch", "gap_open", "q_begin", "q_end", "s_begin", "s_end", _six("evalue"), "score")),
+        "search_extended": _line(_tabbed(*_IDS[::-1], "q_name", _six("evalue"), "bitscore", "score", "align_length", _six("p_identity"), "n_identity", "mismatch", "positive", "gap_open", "gaps", _six("positive / align_length::double * 100"), _six("(s_end - s_begin) / s_len::double * 100"), "s_ori")),
+        "search_reduced": _line(_tabbed(*_IDS, _six("evalue"), "score", "bitscore")),
         "identity_stats": f"select id, {gaps('-')} as gaps, {gaps('-+')} as gap_open, {differ} as mismatch, (length(q_aln) - {differ})::int as identity from (values {pairs}) t(id, q_aln, s_aln)",
     }
+
+
+def layout_sql() -> dict[str, str]:
+    """The layouts that tests hold against SQL over the smallest tables only, as each has to align all candidates again."""
+    rows = "list_zip(string_split(q_aln, ''), string_split(s_aln, ''))"
+    a3m = f"'>' || s_name || chr(10) || repeat('-', q_begin) || array_to_string([case when x[1] <> '-' then x[2] when x[2] = '*' then 'J' else lower(x[2]) end for x in {rows}], '') || repeat('-', q_len - q_end - 1)"
+    pair = f"chr(10) || 'Score = ' || score || chr(9) || 'E-value = ' || {_six('evalue')} || chr(10) || s_name || chr(10) || 'S: ' || s_begin || chr(9) || s_aln || chr(10) || '     ' || chr(9) || match || chr(10) || 'Q: ' || q_begin || chr(9) || q_aln"
+    head = "'=========================' || chr(10) || chr(10) || 'Query ' || q_id || ': item' || q_id || ' benchmark #' || q_seq || '#'"
+    return {
+        "search_fasta": _line("'>' || s_name || chr(10) || s_ori"),
+        "search_a3m": _line(a3m) + " union all select q_id, 0, '>item' || q_id || ' benchmark' || chr(10) || q_seq from q",
+        "search_pairwise": _line(pair) + f" union all select q_id, 0, {head} from q",
+    }

@@ -34,7 +34,7 @@ def test_bit_scores_and_evalues(spark):
 
 
 def test_six_digits_as_streams_print_them(spark):
-    values = [0.0, 1.0, 100.0, 99.5, 1.5e-20, 1234567.0, 123456.0, 0.0001, 0.00001234567, 33.333333333, 66.6666666, 999999.5, 1e-5, 2.5e100, 87.5, 3.0e-310, 100000.0, 1e15]
+    values = [0.0, 1.0, 100.0, 99.5, 1.5e-20, 1234567.0, 123456.0, 0.0001, 0.00001234567, 33.333333333, 66.6666666, 999999.5, 1e-5, 2.5e100, 87.5, 3.0e-310, 100000.0, 1e15, 35.15625, 35.15635, 0.0009765625, 2.0000005, 4.0000015, 32.8125, 1.00000625, 7812.5625, 12345.5, 65535.25]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(scoring.six_digits("v")).collect()]
     assert got == [f"{v:g}" for v in values]
 

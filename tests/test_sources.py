@@ -76,6 +76,42 @@ def test_layout_and_lookup(spark):
     assert [(r["s_id"], r["s_pos"]) for r in found] == expected
 
 
+def test_stores_keep_their_offsets(spark, tmp_path):
+    """Above the size at which range partitioning samples; with a null-free id of any spacing, and built twice the same."""
+    n = 30_000
+    rows = spark.range(n).select((F.col("id") * F.col("id") - 1000).alias("s_id"), F.concat(F.lit("n"), "id").alias("s_name"), F.repeat(F.lit("A"), F.pmod(F.col("id") * 7, F.lit(23)).cast("int")).alias("s_seq"))
+    rows = rows.withColumn("s_len", F.length("s_seq")).repartition(7)
+    seen = []
+    for name in "ab":
+        store.build_db(rows, f"{tmp_path}/{name}", max_residues=20_000, rebalance=False)
+        seen.append(sorted(map(tuple, store.open_db(spark, f"{tmp_path}/{name}").select("s_id", "s_len", "s_offset", "part", "stream").collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == n
+    at = 0
+    for _, length, offset, part, stream in seen[0]:
+        assert (offset, part, stream) == (at, at // 320_000, at // 20_000 % 16)
+        at += length + 1
+
+
+def test_the_last_part_is_dealt_out(spark):
+    rows = spark.createDataFrame([(i, 9) for i in range(100)], "s_id long, s_len int")
+    got = [(r["part"], r["stream"]) for r in store.layout(rows, max_residues=200, streams=4, rebalance=True).orderBy("s_id").collect()]
+    # 80 sequences fill the first part's four volumes, the other 20 are dealt out to four
+    assert got == [(0, i // 20) for i in range(80)] + [(1, i // 5) for i in range(20)]
+
+
+def test_missing_volumes_are_found(spark, tmp_path):
+    import shutil
+
+    rows = spark.createDataFrame([(i, "n", "ACD" * 5, 15) for i in range(40)], "s_id long, s_name string, s_seq string, s_len int")
+    store.build_db(rows, f"{tmp_path}/db", max_residues=50)
+    assert store.open_db(spark, f"{tmp_path}/db").count() == 40
+    shutil.rmtree(next((tmp_path / "db" / "seqs").glob("part=*/stream=*")))
+    with pytest.raises(FileNotFoundError):
+        store.open_db(spark, f"{tmp_path}/db")
+    with pytest.raises(FileNotFoundError):
+        store.open_db(spark, f"{tmp_path}/none")
+
+
 QUERY = ">q1 the query\nMKVLAWGHEYRRNDQPTSFCMKVLWWHEYD\n>q2 lonely\nGGGGGGGGGGGG\n"
 DATABASE = ">s1 with an insertion\nPPMKVLAWGHEYRRNDPPPQPTSFCMKVLWWHEYDPP\n>s2 with a deletion\nMKVLAWGHEYRRQPTSFCMKVLWWHEYD\n>s3\nAAAACCCCAAAACCCC\n"
 
@@ -129,6 +165,8 @@ def test_must_include(spark, built):
     both = lines(spark, searched(spark, built, 5, "-p", "-1", "-e", "1e-3", "--must-include", "W[A-Z]{1,2}H", "2"))
     assert both and all(x.startswith("q1") for x in both)
     assert lines(spark, searched(spark, built, 5, "-p", "-1", "--must-include", "W[A-Z]{1,2}H", "3")) == []
+    args = parser().parse_args(["search", "-q", "a", "-d", "b", "-o", "c", "-w", "4", "-h", "2"])
+    assert (args.qit_width, args.hash_size) == ("4", "2")
     with pytest.raises(SystemExit):
         config(parser().parse_args(["search", "-q", "a", "-d", "b", "-o", "c", "--must-include", "A"]))
 

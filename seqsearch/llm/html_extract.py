@@ -1,11 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into *lines*, one for each block of the page; what lies in menus, page headers, footers, asides,
-forms, adverts, notices, reader comments, scripts and styles leaves an empty line. Lengths are summed over windows of
-``WINDOW`` lines. From the densest window the text is followed up to its surge and down to its dive: the points
-where the sums fall to nothing. All lines between are kept. Where the densest window lies in an article (or main)
-element that holds nearly all text between them (``OWN``), that element's first and last lines are the surge and the dive,
-so that short paragraphs at its ends stay. Else nothing between is left out, and articles that reach into it are kept whole.
+forms, scripts and styles leaves an empty line, and an article's borders leave a window of empty lines. A line's length is 0 if it is
+mostly links, or a few words that stand in a ``div`` by themselves. Lengths are summed over windows of ``WINDOW`` lines.
+From the densest window the text is followed up to its *surge* and down to its *dive*: the points behind which no line with
+a length comes within a window, nor, within ``REACH`` lines, a window with ``SURGE`` characters. All lines between are
+kept, and articles that reach into that are kept whole.
+
+Markup helps in two ways only. Elements that are called advert, notice, comments or the like by class, id or role are left
+out, but never so that nothing is left: where they hold nearly all of the page, the largest is no such element. And
+class and id of inline elements, of ``body`` and of ``main`` say nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +26,12 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A line of which more than this share is link text has no length: a menu without a mark.
 LINKS = 0.5
-#: An article with at least this share of the text between surge and dive stands for all of it.
-OWN = 0.9
+#: Fewer characters than this in a ``div`` of their own are a label, not a paragraph.
+LABEL = 100
+#: Beyond a window of empty lines the text goes on if, within so many lines, a window has so many characters.
+REACH, SURGE = 12, 40
+#: Elements that are left out by their names must leave this share of the text, or an article, or a first heading.
+LEAST = 0.25
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -52,10 +61,8 @@ def _named(names: str) -> bool:
     return False
 
 
-def _skips(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds none of the article. ``inside``: it stands in an article."""
-    if tag in _SKIP or (tag == "header" and not inside):
-        return True
+def _named_so(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's class, id, role or style says that it holds none of the article."""
     if not attributes or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -68,40 +75,78 @@ def _skips(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, float, int]]:
-    """A page's blocks in order: text, share of link text, and the article they stand in (0: none).
+@dataclass
+class Line:
+    """A block: its text, the share of link text, the article that it stands in (0: none), the elements around it that names
+    would leave out (outermost first), and whether it is a first heading or stands in a ``div`` by itself."""
 
-    What is skipped gives empty texts.
-    """
-    out: list[tuple[str, float, int]] = []
-    open_tags: list[tuple[str, bool, int]] = []  # name, skipped, article
+    text: str
+    links: float
+    article: int
+    named: tuple[int, ...]
+    heading: bool = False
+    alone: bool = False
+
+    def length(self) -> int:
+        return 0 if self.links > LINKS or (self.alone and len(self.text) < LABEL) else len(self.text)
+
+
+class _Open:
+    """The open elements, with where the last one of each name is: no start or end tag looks through them all."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, skipped, article, named
+        self.where: dict[str, list[int]] = {}
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of one of these names, -1 if there is none."""
+        return max((at[-1] for n in names if (at := self.where.get(n))), default=-1)
+
+    def push(self, item: tuple[str, bool, int, tuple[int, ...]]) -> None:
+        self.where.setdefault(item[0], []).append(len(self.items))
+        self.items.append(item)
+
+    def cut(self, n: int) -> None:
+        for name, *_ in self.items[n:]:
+            self.where[name].pop()
+        del self.items[n:]
+
+    def top(self) -> tuple[str, bool, int, tuple[int, ...]]:
+        return self.items[-1] if self.items else ("", False, 0, ())
+
+
+def lines(page: str) -> list[Line]:
+    """A page's blocks in order; what is skipped, and an article's borders, give lines without text."""
+    out: list[Line] = []
+    tags = _Open()
     text: list[str] = []
-    linked = links = articles = 0
-    skip, article = False, 0
+    linked = links = articles = elements = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((whole, min(1.0, linked / len(whole)), article))
+                name, _, article, named = tags.top()
+                out.append(Line(whole, min(1.0, linked / len(whole)), article, named, tags.last("h1") >= 0, name == "div"))
             text.clear()
         linked = 0
 
+    def gap(n: int) -> None:
+        out.extend(Line("", 0.0, tags.top()[2], ()) for _ in range(n))
+
     def close(n: int) -> None:
-        nonlocal skip, article, links
         flush()
-        was = skip
-        for name, _, _ in open_tags[n:]:
-            links -= name == "a" and links > 0
-        del open_tags[n:]
-        skip, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, 0)
-        if was and not skip:
-            out.append(("", 0.0, article))
+        was, borders = tags.top()[1], sum(t[0] == "article" for t in tags.items[n:])
+        tags.cut(n)
+        if was and not tags.top()[1]:
+            gap(1)
+        elif borders and not was:
+            gap(WINDOW)
 
     def add(raw: str) -> None:
         nonlocal linked
-        if not skip and raw:
+        if not tags.top()[1] and raw:
             piece = html.unescape(raw)
             text.append(piece)
             if links:
@@ -123,16 +168,11 @@ def lines(page: str) -> list[tuple[str, float, int]]:
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in _PLAIN and not any(t[0] == tag for t in open_tags):
-                continue
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    close(i)
-                    break
-                if open_tags[i][0] in _ARTICLE and tag in _PLAIN:
-                    break
-            else:
-                if tag in _BLOCK:
+            elif tag not in _PLAIN:
+                n = tags.last(tag)
+                if n >= 0:
+                    close(n)
+                elif tag in _BLOCK:
                     flush()
             continue
         if tag in _RAW:
@@ -140,46 +180,60 @@ def lines(page: str) -> list[tuple[str, float, int]]:
             at = end.end() if end else len(page)
             continue
         if tag in _BLOCK:
-            if any(t[0] == "p" for t in open_tags[-4:]):
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] == "p":
-                        close(i)
-                        break
-                    if open_tags[i][0] not in _PLAIN:
-                        break
+            links = 0 if tag in ("p", "article", "section", "nav", "footer") else links  # a link that was never closed
+            if tags.top()[0] == "p":
+                close(len(tags.items) - 1)
             if tag in _SIBLINGS:
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] == tag or {open_tags[i][0], tag} == {"dt", "dd"} or {open_tags[i][0], tag} == {"td", "th"}:
-                        close(i)
-                        break
-                    if open_tags[i][0] in _SIBLINGS[tag]:
-                        break
+                pair = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
+                n = tags.last(*pair)
+                if n > tags.last(*_SIBLINGS[tag]):
+                    close(n)
             flush()
         if tag == "br":
             text.append(" ")
-        if tag in _VOID:
-            continue
-        if tag == "body":  # a head that was never closed ends here
-            for i, t in enumerate(open_tags):
-                if t[0] == "head":
-                    close(i)
-                    break
-        hides = skip or _skips(tag, m[4], article > 0)
         if tag == "a":
             links += 1
-        if tag in _PLAIN and (skip or not hides):
+        if tag in _VOID or tag in _PLAIN:
             continue
-        if hides and not skip and tag not in _PLAIN:
+        if tag == "body" and (n := tags.last("head")) >= 0:  # a head that was never closed ends here
+            close(n)
+        _, skip, article, named = tags.top()
+        hides = skip or tag in _SKIP or (tag == "header" and not article)
+        if hides and not skip:
             flush()
-        if tag in _ARTICLE and not hides and (tag == "article" or article == 0):
-            articles += 1
-            article = articles if article == 0 else article
-        open_tags.append((tag, hides, article))
-        skip = hides
+        if not hides:
+            if tag in _ARTICLE and (tag == "article" or article == 0):
+                if tag == "article":
+                    gap(WINDOW)
+                articles += 1
+                article = article or articles
+            if _named_so(tag, m[4], article > 0):
+                elements += 1
+                named = (*named, elements)
+        tags.push((tag, hides, article, named))
     flush()
     return out
 
 
+def left(found: list[Line]) -> list[Line]:
+    """The lines with empty ones for what names leave out, if enough is left; else the largest such element counts as text."""
+    void: set[int] = set()
+    total = sum(len(x.text) for x in found)
+    while True:
+        kept = [x for x in found if x.text and not set(x.named) - void]
+        if any(x.article or x.heading for x in kept) or sum(len(x.text) for x in kept) >= LEAST * total:
+            break
+        sizes: dict[int, int] = {}
+        for x in found:
+            for e in x.named:
+                if e not in void:
+                    sizes[e] = sizes.get(e, 0) + len(x.text)
+        if not sizes:
+            break
+        void.add(max(sizes, key=lambda e: (sizes[e], -e)))
+    return [x if not set(x.named) - void else Line("", 0.0, 0, ()) for x in found]
+
+
 def densest(lengths: list[int], window: int = WINDOW) -> int:
     """The first line with text of the densest window of lines; some line must have text."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
@@ -191,41 +245,40 @@ def surge_and_dive(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
     """The first line and the line after the last of the text around the densest window of lines."""
     if not any(lengths):
         return 0, 0
-    first = last = densest(lengths, window)
-    while first > 0 and any(lengths[max(0, first - window) : first]):
-        first -= 1
-    while last + 1 < len(lengths) and any(lengths[last + 1 : last + 1 + window]):
-        last += 1
-    while not lengths[first]:
-        first += 1
-    while not lengths[last]:
-        last -= 1
-    return first, last + 1
+
+    def follow(lengths: list[int], at: int) -> int:
+        """The last line of the text from ``at`` on."""
+        while True:
+            near = [i for i in range(at + 1, min(at + 1 + window, len(lengths))) if lengths[i]]
+            if near:
+                at = near[-1]
+                continue
+            far = next((i for i in range(at + 1, min(at + 1 + REACH, len(lengths))) if sum(lengths[i : i + window]) >= SURGE), None)
+            if far is None:
+                return at
+            at = next(i for i in range(far, len(lengths)) if lengths[i])
+
+    peak = densest(lengths, window)
+    return len(lengths) - 1 - follow(lengths[::-1], len(lengths) - 1 - peak), follow(lengths, peak) + 1
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, a block a line; empty if there is none."""
-    found = lines(page or "")
-    if not found:
-        return ""
-    lengths = [len(t) if share <= LINKS else 0 for t, share, _ in found]
-    # an empty line for what was skipped is no gap; as many as a window, or a list of links, are one
+    found = left(lines(page or ""))
+    lengths = [x.length() for x in found]
+    if not any(lengths):
+        lengths = [len(x.text) for x in found]  # nothing but labels and links
     first, end = surge_and_dive(lengths)
-    total: dict[int, int] = {}
-    for n, (_, _, a) in zip(lengths[first:end], found[first:end], strict=True):
-        if a and n:
-            total[a] = total.get(a, 0) + n
-    own = found[densest(lengths)][2] if total else 0
-    if own and total[own] >= OWN * sum(lengths[first:end]):
-        return "\n".join(t for t, _, a in found if a == own and t)
-    return "\n".join(t for i, (t, _, a) in enumerate(found) if t and (first <= i < end or a in total))
+    reached = {x.article for x, n in zip(found[first:end], lengths[first:end], strict=True) if x.article and n}
+    return "\n".join(x.text for i, x in enumerate(found) if x.text and (first <= i < end or x.article in reached))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars`` of every row: its main text and the number of its code points.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by a line feed. A null
-    or empty page, or one without main text, gives an empty text. Null ids and urls stay null, repeated rows stay
+    or empty page, or one without main text, gives an empty text. Of windows that are equally dense the first counts. A page's
+    work grows with its size, however long it is and whatever tags are left open. Null ids and urls stay null, repeated rows stay
     repeated, an empty table gives an empty one; other columns are not read. No shuffle.
     """
 

@@ -22,7 +22,9 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ROUNDS = 20
-#: Rules as (name, bad if, good if), integer SQL conditions over the counts; neither: the rule abstains.
+#: Rules as (name, bad if, good if), integer SQL conditions over the counts; neither: the rule abstains. Symbols and bars have
+#: a strict and a mild rule: text that is full of them breaks both, so that the estimation can tell it from text with one
+#: weak bad vote without being told how far each rule can be trusted.
 RULES = (
     ("symbols", "100 * n_symbols > 8 * word_chars", "100 * n_symbols <= word_chars"),
     ("capitals", "100 * n_upper > 40 * (n_upper + n_lower)", "100 * n_upper <= 15 * (n_upper + n_lower)"),
@@ -32,13 +34,11 @@ RULES = (
     ("same_lines", "100 * n_dup_lines > 60 * n_lines", "n_dup_lines = 0 and n_lines >= 5"),
     ("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 12 * n_words"),
     ("sentences", "100 * n_stops < n_words", "100 * n_stops >= 3 * n_words"),
+    ("some_symbols", "100 * n_symbols > 3 * word_chars", "200 * n_symbols <= word_chars"),
+    ("some_bars", "100 * n_bars > 5 * n_words", "100 * n_bars <= n_words"),
 )
 #: Start of the estimation: share of good documents, and how often a rule that votes says bad of bad and of good ones.
 START = (0.8, 0.3, 0.005)
-#: Bounds of the estimates: a rule says bad of a good document in 0.5 % of its votes at most, and of a bad one in 5 %
-#: at least. They hold the estimation at the solution in which a bad vote means a bad document: kinds of bad text
-#: seldom occur together, and without bounds the most numerous kind alone would make up the bad class.
-MOST_FALSE, LEAST_TRUE = 0.005, 0.05
 #: Added to each count of votes, so that no estimate is 0 or 1.
 SMOOTH = 1.0
 
@@ -116,9 +116,7 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (at(j, [0]) + SMOOTH) / (at(j, [0, 2]) + 2 * SMOOTH))
 
         share = (_sum(rows, lambda r: r["g"]) + SMOOTH) / (_sum(rows, lambda r: r["n"]) + 2 * SMOOTH)
-        bad = F.transform(rate(lambda r: r["n"] - r["g"]), lambda x: F.greatest(x, F.lit(LEAST_TRUE)))
-        good = F.transform(rate(lambda r: r["g"]), lambda x: F.least(x, F.lit(MOST_FALSE)))
-        return F.struct(share.alias("share"), bad.alias("bad"), good.alias("good"))
+        return F.struct(share.alias("share"), rate(lambda r: r["n"] - r["g"]).alias("bad"), rate(lambda r: r["g"]).alias("good"))
 
     start = F.struct(F.lit(START[0]).alias("share"), F.array_repeat(F.lit(START[1]), k).alias("bad"), F.array_repeat(F.lit(START[2]), k).alias("good"))
     one = one.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
@@ -130,7 +128,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. ``kept``: not failed and a
     probability of at least ``least``. A null, empty or blank text has counts of 0, no vote, a null probability, and
-    fails. Null ids stay null, repeated rows stay repeated, an empty table gives an empty one; other columns are not
+    fails. Texts are counted whole, however long. Equal patterns of votes get equal probabilities, so there are no ties.
+    Null ids stay null, repeated rows stay repeated, an empty table gives an empty one; other columns are not
     read. Reads the texts once: the counts are written to the shared folder before they are used twice.
     """
     out = _judge(df, F.col(id_col), text_col, least, rounds)

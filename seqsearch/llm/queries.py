@@ -40,6 +40,8 @@ URL_EVENTS = (
     ("tionsh.example.net/de", "2024-05-31", False),
     ("blog.tionble.example.com", "2024-11-15", True),
     ("tiontion.example.com/fr", "2024-01-01", True),
+    ("Tiontion.Example.NET/en", "2024-02-01", True),
+    ("therhe.example.org/EN", "2024-01-01", True),
 )
 
 

@@ -35,7 +35,7 @@ ps as (select list({{'pattern': pattern, 'n': n, 'v': [pattern // (3 ** ({k - 1}
 em as (select 0 as round, {share}::double as share, [{bad}::double for j in {listed}] as bad, [{good}::double for j in {listed}] as good
  union all
  select round + 1, (coalesce(list_sum([p.g for p in ps]), 0) + {rules.SMOOTH}) / (coalesce(list_sum([p.n for p in ps]), 0) + {2 * rules.SMOOTH}),
- [greatest({rate('p.n - p.g')}, {rules.LEAST_TRUE}) for j in {listed}], [least({rate('p.g')}, {rules.MOST_FALSE}) for j in {listed}]
+ [{rate('p.n - p.g')} for j in {listed}], [{rate('p.g')} for j in {listed}]
  from (select round, [{{'n': p.n, 'v': p.v, 'g': p.n * ({post})}} for p in x.ps] as ps from em, ps x where round < {rules.ROUNDS})),
 known as (select p.pattern as pattern, {post} as p_quality from (select unnest(x.ps) as p, share, bad, good from em, ps x where round = {rules.ROUNDS}))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
@@ -63,7 +63,7 @@ select doc_id, d.size, source_size, target, size * (whole + (whole < 2 and h < l
 def url_filters(events) -> str:
     rows = ", ".join(f"('{k}', date '{d}', {str(x).lower()})" for k, d, x in events)
     return rf"""
-with e as (select key, day, bool_and(listed) as listed from (values {rows}) t(key, day, listed) group by key, day),
+with e as (select lower(split_part(key, '/', 1)) || substr(key, length(split_part(key, '/', 1)) + 1) as key, day, bool_and(listed) as listed from (values {rows}) t(key, day, listed) group by all),
 c as (select *, coalesce(lag(listed) over (partition by key order by day), false) as before from e),
 v as (select key, day as since, listed, lead(day) over (partition by key order by day) as until from c where listed <> before),
 p as (select page_id, url, date '2024-01-01' + (page_id % 365)::int as fetched, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) as host,

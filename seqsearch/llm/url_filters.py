@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lists of up to this number of intervals are broadcast; longer ones are joined by shuffle, and Spark splits hot hosts.
+#: Lists of up to this number of intervals are broadcast. Longer ones are joined by shuffle, a key's captures dealt out to
+#: ``SALT`` tasks, each of which has the key's intervals: ``com`` is a key of a large part of all captures.
 BROADCAST_INTERVALS = 200_000
+SALT = 32
 
 
 def host(url: str = "url") -> Column:
@@ -35,10 +37,12 @@ def keys(url: str = "url") -> Column:
 def intervals(events: DataFrame) -> DataFrame:
     """``key, day, listed`` to ``key, since, until``: when each key was on the list, ``until`` excluded and null if it still is.
 
-    Events without key or day are left out; listing what is listed already changes nothing; of several events of a
+    Of a key the host is in lower case, as hosts are the same in either; paths are not. Events without key or day are left out; listing what is listed already changes nothing; of several events of a
     key on one day a removal holds.
     """
-    day = events.where("key is not null and day is not null and listed is not null").groupBy(F.lower("key").alias("key"), F.col("day").cast("date").alias("day")).agg(F.min("listed").alias("listed"))
+    name = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(name), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))
+    day = events.where("key is not null and day is not null and listed is not null").groupBy(key.alias("key"), F.col("day").cast("date").alias("day")).agg(F.min("listed").alias("listed"))
     by_key = Window.partitionBy("key").orderBy("day")
     changes = day.withColumn("before", F.coalesce(F.lag("listed").over(by_key), F.lit(False))).where(F.col("listed") != F.col("before"))
     return changes.withColumn("until", F.lead("day").over(by_key)).where("listed").select("key", F.col("day").alias("since"), "until")
@@ -49,15 +53,17 @@ def filter_urls(captures: DataFrame, events: DataFrame, id_col: str = "page_id",
 
     ``entry`` is the longest of the keys that were listed on the day of the fetch, then the smallest by code points, and
     ``listed_on`` the day since when. A null or malformed URL has no host and matches nothing, nor does a capture without
-    a day. Repeated rows stay repeated, null ids stay null, empty tables give no rows or no matches; other columns of
+    a day. URLs are read whole, however long; each path prefix is a key. Repeated rows stay repeated, null ids stay null, empty tables give no rows or no matches; other columns of
     either table are not read.
     """
     valid = intervals(events)
-    if valid.count() <= BROADCAST_INTERVALS:
-        valid = F.broadcast(valid)
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("fetched"))
     asked = rows.distinct().withColumn("key", F.explode(keys("url")))
-    active = asked.join(valid, (asked["key"] == valid["key"]) & (asked["fetched"] >= valid["since"]) & (valid["until"].isNull() | (asked["fetched"] < valid["until"]))).drop(valid["key"])
+    near = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
+    salt = F.lit(0) if near else F.pmod(F.xxhash64("url", "id"), F.lit(SALT)).cast("int")
+    asked = asked.withColumn("salt", salt)
+    valid = F.broadcast(valid.withColumn("salt", F.lit(0))) if near else valid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    active = asked.join(valid, (asked["key"] == valid["key"]) & (asked["salt"] == valid["salt"]) & (asked["fetched"] >= valid["since"]) & (valid["until"].isNull() | (asked["fetched"] < valid["until"]))).drop(valid["key"], valid["salt"])
     best = F.min(F.struct((-F.length("key")).alias("size"), "key", "since"))
     matched = active.groupBy("id", "url", "fetched").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).select(F.col("id").alias("m_id"), F.col("url").alias("m_url"), F.col("fetched").alias("m_fetched"), "n", "best")
     out = rows.join(matched, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("url") == F.col("m_url")) & (F.col("fetched") == F.col("m_fetched")), "left")

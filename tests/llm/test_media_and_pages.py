@@ -167,6 +167,40 @@ def test_surge_and_dive():
     assert html_extract.surge_and_dive([5, 0, 0, 0, 50, 0, 60, 1, 0, 0, 0, 9]) == (4, 8)
 
 
+def test_names_do_not_take_the_article():
+    long = "".join(f"<p>{'words of it ' * 30}{i}</p>" for i in range(5))
+    plain = "\n".join(" ".join(x.split()) for x in re.split("</?p>", long) if x.strip())
+    note = "<div class=ad>buy this now</div>"
+    assert html_extract.main_text(f"{note}<div class='share-price'>{long}</div>") == plain
+    assert html_extract.main_text(f"{note}<article class='related-work promo'>{long}</article>{note}") == plain
+    assert html_extract.main_text(f"<div class='social page'><div class=comments><p>{'so nice ' * 20}</p></div><article>{long}</article></div>") == plain
+    assert html_extract.main_text(f"<article><p>a <span class=ad>word</span> and another</p>{long}</article>") == "a word and another\n" + plain
+
+
+def test_windows_decide_without_marks(spark, monkeypatch):
+    """Pages without article, class, id and role: the text is the same, and it is the windows that cut it."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()]
+    stripped = [re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", re.sub("</?article[^>]*>", "", p)) for p in pages]
+    with_marks, without = list(map(html_extract.main_text, pages)), list(map(html_extract.main_text, stripped))
+    same = sum(a == b for a, b in zip(with_marks, without, strict=True))
+    assert same >= 0.95 * len(pages), same
+    monkeypatch.setattr(html_extract, "surge_and_dive", lambda lengths: (0, len(lengths)))
+    off = list(map(html_extract.main_text, stripped))
+    assert sum(a == b for a, b in zip(with_marks, off, strict=True)) < 0.05 * len(pages)
+
+
+def test_work_grows_with_the_page():
+    import time
+
+    def seconds(n):
+        page = "<div><dd>" * n + "</span></i>x" * n + "<dd>" * n
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 20 * max(seconds(5_000), 0.02)
+
+
 def test_pages(spark):
     import html
 

@@ -55,10 +55,12 @@ def test_base_counts(spark):
 
 
 def test_estimation_is_the_plain_one(spark):
-    counts = {"22222222": 900, "02222222": 40, "20222222": 30, "22221222": 50, "12121212": 7, "11111111": 5, "00220222": 4}
+    k = len(quality_rules.RULES)
+    counts = {p.ljust(k, "2"): n for p, n in {"22222222": 900, "02222222": 40, "20222222": 30, "22221222": 50, "12121212": 7, "11111111": 5, "00220222": 4}.items()}
+    counts |= {"0" + "2" * (k - 3) + "02": 25}
     rows = spark.createDataFrame([(int(p, 3), n) for p, n in counts.items()] + [(None, 3)], "pattern int, n long")
     got = quality_rules.estimate(rows).first()
-    share, bad, good = quality_rules.START[0], [quality_rules.START[1]] * 8, [quality_rules.START[2]] * 8
+    share, bad, good = quality_rules.START[0], [quality_rules.START[1]] * k, [quality_rules.START[2]] * k
 
     def posterior(p):
         x = math.log(share / (1 - share))
@@ -69,8 +71,8 @@ def test_estimation_is_the_plain_one(spark):
     for _ in range(quality_rules.ROUNDS):
         g = {p: n * posterior(p) for p, n in counts.items()}
         rate = lambda w, j: (sum(w(p) for p in counts if p[j] == "0") + 1) / (sum(w(p) for p in counts if p[j] != "1") + 2)  # noqa: B023, E731
-        bad = [max(rate(lambda p: counts[p] - g[p], j), quality_rules.LEAST_TRUE) for j in range(8)]  # noqa: B023
-        good = [min(rate(lambda p: g[p], j), quality_rules.MOST_FALSE) for j in range(8)]  # noqa: B023
+        bad = [rate(lambda p: counts[p] - g[p], j) for j in range(k)]  # noqa: B023
+        good = [rate(lambda p: g[p], j) for j in range(k)]  # noqa: B023
         share = (sum(g.values()) + 1) / (sum(counts.values()) + 2)
     assert math.isclose(got["share"], share, rel_tol=1e-9)
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip([*got["bad"], *got["good"]], [*bad, *good], strict=True))
@@ -154,13 +156,13 @@ def test_word_counts(spark):
     assert [r[0] for r in docs.select(source_mixing.word_count()).collect()] == [len(split(r["text"])) for r in docs.collect()]
 
 
-EVENTS = [("Bad.example", "2024-01-10", True), ("bad.example", "2024-01-20", False), ("bad.example", "2024-02-01", True), ("x.bad.example", "2024-01-15", True), ("ok.example/a/b", "2024-01-01", True), ("tie.example", "2024-01-05", True), ("tie.example", "2024-01-05", False), ("twice.example", "2024-01-01", True), ("twice.example", "2024-01-03", True), (None, "2024-01-01", True), ("z.example", None, True)]
+EVENTS = [("Bad.example", "2024-01-10", True), ("bad.example", "2024-01-20", False), ("bad.example", "2024-02-01", True), ("x.bad.example", "2024-01-15", True), ("ok.example/a/b", "2024-01-01", True), ("tie.example", "2024-01-05", True), ("tie.example", "2024-01-05", False), ("twice.example", "2024-01-01", True), ("twice.example", "2024-01-03", True), (None, "2024-01-01", True), ("z.example", None, True), ("Case.Example/Path/A", "2024-01-01", True)]
 
 
 def test_url_filters(spark):
     events = spark.createDataFrame(EVENTS, "key string, day string, listed boolean").withColumn("url", F.lit("clash")).withColumn("id", F.lit(1))
     days = ["2024-01-09", "2024-01-10", "2024-01-19", "2024-01-20", "2024-02-01", "2024-03-01"]
-    urls = ["http://bad.example/", "https://u:p@X.BAD.example:80/q?bad", "http://notbad.example/", "http://ok.example/a/b/c", "http://ok.example/a/bc", "http://ok.example//a//b", "http://tie.example", "http://twice.example/#f", "mailto:bad.example", "", None]
+    urls = ["http://bad.example/", "https://u:p@X.BAD.example:80/q?bad", "http://notbad.example/", "http://ok.example/a/b/c", "http://ok.example/a/bc", "http://ok.example//a//b", "http://tie.example", "http://twice.example/#f", "mailto:bad.example", "", None, "http://CASE.example/Path/A/x", "http://case.example/path/a/x", "http://long.example/" + "a/" * 3000]
     rows = [(i, u, d, "k", "c") for i, u in enumerate(urls) for d in days] + [(0, urls[0], days[1], "k", "c")] * 2 + [(None, urls[0], days[1], "k", "c"), (7, urls[0], None, "k", "c")]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched string, key string, since string")
     got = Counter((r["page_id"], r["url"], str(r["fetched"]), r["n_active"], r["entry"], str(r["listed_on"])) for r in url_filters.filter_urls(captures, events).collect())
@@ -168,10 +170,11 @@ def test_url_filters(spark):
     def listed(key, day):
         """(since) while on the list"""
         since = None
-        for d in sorted({e[1] for e in EVENTS if e[0] and e[1] and e[0].lower() == key}):
+        named = lambda e: e[0].split("/")[0].lower() + e[0][len(e[0].split("/")[0]) :]
+        for d in sorted({e[1] for e in EVENTS if e[0] and e[1] and named(e) == key}):
             if d > day:
                 break
-            on = all(e[2] for e in EVENTS if e[0] and e[0].lower() == key and e[1] == d)
+            on = all(e[2] for e in EVENTS if e[0] and named(e) == key and e[1] == d)
             since = (since or d) if on else None
         return since
 

@@ -111,3 +111,30 @@ def map_blob(uri: str, dtype: str):
         return np.memmap(path, dtype=dtype, mode="r")
     with filesystem.open_input_file(path) as f:
         return np.frombuffer(f.read(), dtype=dtype)
+
+
+def let_go() -> None:
+    """Give memory that is free back to the machine: Spark keeps Python workers for later tasks, which may be others', and
+    the JVM beside them needs the room."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """An Arrow function that calls ``let_go`` at the end of each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return whole

@@ -17,6 +17,8 @@ import numpy as np
 BLOCK = 192
 #: Frames that are coded side by side: what bounds memory, however long a stream is.
 SLICE = 8192
+#: Seek points of a stream at most, as their size has 24 bits; a longer stream has one for every second, third... frame.
+POINTS = 900_000
 RATE = 8000
 _I = np.int64
 
@@ -141,9 +143,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         sizes = size[a:b]
         info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
         info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8, "big") + hashlib.md5(signed[a:b].tobytes()).digest()
-        seek = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        seek["sample"], seek["offset"], seek["n"] = np.arange(b - a) * BLOCK, start[a:b] - start[a], BLOCK
-        blocks = b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * (b - a)).to_bytes(3, "big") + seek.tobytes()
+        step = -(-(b - a) // POINTS)
+        seek = np.zeros(-(-(b - a) // step), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        seek["sample"], seek["offset"], seek["n"] = np.arange(b - a)[::step] * BLOCK, (start[a:b] - start[a])[::step], BLOCK
+        blocks = b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek.tobytes()).to_bytes(3, "big") + seek.tobytes()
         streams.append(b"fLaC" + blocks + out[start[a] : start[b]].tobytes())
     return streams
 
@@ -169,7 +172,27 @@ def index(stream: bytes) -> tuple[int, bytes, int, np.ndarray]:
     packed = int.from_bytes(info[10:18], "big")
     if (packed >> 36) & 31 != 7 or (packed >> 41) & 7 or info[:4] != struct.pack(">HH", BLOCK, BLOCK):
         raise Damaged("not mono, 8 bits, blocks of 192")
-    return packed & ((1 << 36) - 1), info[18:34], at, seek
+    samples = packed & ((1 << 36) - 1)
+    return samples, info[18:34], at, seek if len(seek) * BLOCK >= samples else _all_points(stream, at, samples // BLOCK, seek)
+
+
+def _all_points(stream: bytes, begin: int, frames: int, seek: np.ndarray) -> np.ndarray:
+    """Points for all frames of a stream whose table leaves some out: a frame's header has its number and a CRC-8, so the
+    next one is the first place behind the last that has both right."""
+    out = np.zeros(frames, seek.dtype)
+    out["sample"], out["n"] = np.arange(frames) * BLOCK, BLOCK
+    told = dict(zip((seek["sample"].astype(_I) // BLOCK).tolist(), seek["offset"].astype(_I).tolist(), strict=True))
+    at = begin
+    for i in range(frames):
+        number, n = _number(np.array([i]))
+        head = b"\xff\xf8\x10\x02" + number[0, : int(n[0])].tobytes()
+        head += bytes([int(_crc(np.frombuffer(head, np.uint8), np.array([0]), np.array([len(head)]), 8)[0])])
+        at = begin + told[i] if i in told else stream.find(head, at)
+        if at < 0:
+            raise Damaged(f"no frame {i}")
+        out["offset"][i] = at - begin
+        at += len(head)
+    return out
 
 
 class _Bits:

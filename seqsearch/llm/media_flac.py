@@ -42,7 +42,8 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``id, n_bytes, media``: each row's text, padded with spaces to whole blocks, as a FLAC stream.
 
     Null and empty texts are one block of spaces. Null ids stay null, repeated rows stay repeated, an empty table
-    gives an empty one; other columns are not read.
+    gives an empty one; other columns are not read. A very long text is coded in slices of frames, with seek points for as
+    many frames as their table has room for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +65,8 @@ def feature(data: bytes) -> str:
 
 def read_media(df: DataFrame, id_col: str = "doc_id", data: bool = False) -> DataFrame:
     """Decodes ``media``: ``id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``,
-    with ``data`` the PCM bytes too. A stream that is damaged ends the job; a null one gives nulls."""
+    with ``data`` the bytes too. A stream that is damaged ends the job; a null one gives nulls. Null ids stay null, repeated
+    rows stay repeated, an empty table gives an empty one; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,3 +88,27 @@ def read_media(df: DataFrame, id_col: str = "doc_id", data: bool = False) -> Dat
     source = df.select(F.col(id_col).alias("id"), "n_bytes", "media")
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * data).withColumnRenamed("id", id_col)
+
+
+def pcm_blocks(df: DataFrame, id_col: str = "doc_id", frames: int = 256) -> DataFrame:
+    """Decodes ``media`` into PCM blocks: ``id, sample, n, pcm``, a row for each ``frames`` frames of a stream.
+
+    ``sample`` is the offset of a block's first sample, so that a reader finds sample x in the block that begins at
+    ``x - x % (192 * frames)``; ``pcm`` are ``n`` signed 8-bit samples. All checksums are verified, a stream that is damaged
+    ends the job. A null stream has no blocks; null ids stay null, repeated rows give repeated blocks.
+    """
+    most = flac.BLOCK * frames
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _groups(whole, 1):
+                media = batch.column(1).to_pylist()
+                kept = [i for i, m in enumerate(media) if m is not None]
+                for i, p in zip(kept, flac.decode([media[i] for i in kept]), strict=True):
+                    signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
+                    at = list(range(0, len(signed), most))
+                    parts = [signed[a : a + most] for a in at]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(at), pa.int64())), pa.array(at, pa.int64()), pa.array(list(map(len, parts)), pa.int64()), pa.array(parts, pa.binary())], names=["id", "sample", "n", "pcm"])
+
+    source = df.select(F.col(id_col).alias("id"), "media")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, sample long, n long, pcm binary").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, tidy
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -67,6 +67,13 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if n > 1 else h
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets that aren't empty have in common."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
 @lru_cache(maxsize=1)
 def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the bins' ranges, each bin's order over the others, and odd factors for bands."""
@@ -112,7 +119,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 n, key, band, sig = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "n", "key", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, bands array<long>, sig binary")
+    return docs.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary, bands array<long>, sig binary")
 
 
 def _least(n, percent: int):
@@ -134,7 +141,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
     joined = pairs.join(a, "u").join(b, "v").where((100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu")))
-    return joined.select("u", "v", "su", "sv", F.least("nu", "nv").alias("n")).mapInArrow(run, "u binary, v binary")
+    return joined.select("u", "v", "su", "sv", F.least("nu", "nv").alias("n")).mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if not ids.where("id is null").isEmpty():
         # nodes of which no row has an id; not joined, as all would meet in one task
         texts = texts.union(docs.where("id is null").select("text"))
-    return cut(texts.mapInArrow(keyed, "node binary, text string"), "texts").dropDuplicates(["node"])
+    return cut(texts.mapInArrow(tidy(keyed), "node binary, text string"), "texts").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -168,13 +175,13 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                     if v != last:
                         last, held = v, shingles(y)
                     t = shingles(x)
-                    both = len(np.intersect1d(t, held, assume_unique=True))
+                    both = shared(t, held)
                     keep.append(100 * both >= percent * (len(t) + len(held) - both))
                 yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     texts = _texts(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), nodes, docs)
     joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-    return joined.select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
+    return joined.select("u", "v", "x", "y").mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,7 +235,7 @@ def _across(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), pa.int64()) for k in key] + [pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["b", "i", "j", "u", "v"])
 
     with_sigs = blocks.join(nodes.select("node", "n", "sig"), "node").select("b", "i", "j", "node", "label", "few", "n", "sig")
-    return _dealt(with_sigs).mapInArrow(run, "b long, i long, j long, u binary, v binary")
+    return _dealt(with_sigs).mapInArrow(tidy(run), "b long, i long, j long, u binary, v binary")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -249,8 +256,8 @@ def _in_place(dense: DataFrame, blocks: DataFrame, nodes: DataFrame, docs: DataF
             for k, t in zip(node, texts, strict=True):
                 if k not in known:
                     hashes = shingles(t)
-                    known[k] = (set(hashes.tolist()), bands(signature(hashes)))
-            sets = [known[k][0] for k in node]
+                    known[k] = (hashes, bands(signature(hashes)))
+            sets = [known[k][0] for k in node]  # sorted arrays: eight bytes a shingle
             band, n, few = np.stack([known[k][1] for k in node]), np.array(n), np.array(few)
             root = {x: x for x in label}
 
@@ -269,7 +276,7 @@ def _in_place(dense: DataFrame, blocks: DataFrame, nodes: DataFrame, docs: DataF
                 for j in fits.tolist():
                     a, b = find(label[i]), find(label[j])
                     if a != b:
-                        both = len(sets[i] & sets[j])
+                        both = shared(sets[i], sets[j])
                         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                             root[a] = b
                             found.append((node[i], node[j]))
@@ -280,7 +287,7 @@ def _in_place(dense: DataFrame, blocks: DataFrame, nodes: DataFrame, docs: DataF
     rows = cut(blocks.join(dense, ["b", "i", "j"]), "dense")
     texts = _texts(rows.select("node").distinct(), nodes, docs)
     whole = rows.join(texts, "node").join(nodes.select("node", "n"), "node").select("b", "i", "j", "node", "label", "few", "n", "text")
-    return _dealt(whole).mapInArrow(run, "u binary, v binary")
+    return _dealt(whole).mapInArrow(tidy(run), "u binary, v binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -290,7 +297,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest id that a document reaches by links, ``kept`` whether it is its own. Null, empty and blank texts have no
     shingle and no link. Rows with the same text are one node whatever their ids; rows with a null id have
     part in the links, and a component of nulls alone has the id null and nothing kept. An empty table gives an
-    empty one. Other columns are not read. A link of similarity 0.85 shares no bucket with probability 5e-7.
+    empty one. Texts are read whole, however long: 8 bytes a shingle in memory, for at most about 1024 texts at a time. Ties
+    between centres of a bucket go to the larger digest. Other columns are not read, so extra ones may have any names. A
+    link of similarity 0.85 shares no bucket with probability 5e-7.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = cut(_sets(docs), "sets")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
 
 SAMPLE = 4000
 DIMS = 48
@@ -142,9 +143,10 @@ class Model:
         if not k or not len(known):
             return out
         near = self.latent(counts[known]) @ self.vectors.T
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** POWER + 1e-12
-        out[known] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(near, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+        row, best = np.nonzero(near >= last)  # all that tie with the last one count
+        weight = np.maximum(near[row, best], 0).astype(np.float64) ** POWER + 1e-12
+        out[known] = np.bincount(row, weight * self.labels[best], len(near)) / np.bincount(row, weight, len(near))
         return np.clip(out, 0, 1)
 
 
@@ -154,8 +156,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled documents that aren't held out. Null labels and ids are left out; of several
-    labels of an id the largest holds."""
+    """Learns from at most ``sample`` labelled documents that aren't held out, taken in the order of a hash of their ids.
+
+    Null labels and ids are left out; of several labels of an id the largest holds, of several texts of an id one counts.
+    Null and empty texts are texts without terms. Without any labelled document all scores are 0.5. Other columns of either
+    table are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
-    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
+    made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
     # of rows that repeat an id one counts, whatever the order they come in, so the sample is of different documents
     rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in made.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).collect())
     counts = unpacked([r[2] for r in rows])
@@ -176,8 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3, keep: bool = False) -> DataFrame:
     """``id, held_out, score, predicted`` of every row; with ``keep`` instead the rows that reach ``least``, as they are.
 
-    The score depends on the text alone. Null, empty and blank texts have the sample's share of label 1. Null ids
-    stay null and count as held out, repeated rows stay repeated, an empty table gives an empty one.
+    The score depends on the text alone, read whole, however long. Sample documents that tie with the last neighbour all
+    vote. Null, empty and blank texts have the sample's share of label 1. Null ids
+    stay null and count as held out, repeated rows stay repeated, an empty table gives an empty one. Without ``keep`` other
+    columns are not read; with it they are carried, whatever their names.
     """
     name = "_score"
     while keep and name in docs.columns:
@@ -194,7 +202,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())] if keep else [batch.column(0), pa.array(made, pa.float64())], names=[*batch.schema.names, name] if keep else ["id", name])
 
     if keep:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])).where(F.col(name) >= least).drop(name)
+        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])).where(F.col(name) >= least).drop(name)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias(text_col))
-    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, _score double")
+    made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, _score double")
     return made.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= least).cast("int").alias("predicted"))

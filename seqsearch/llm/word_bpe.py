@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_NAMES, Held, as_bytes, buffers, by_size, load, plain_words
-from .common import Blob, open_fs, parts_for, scratch
+from .common import Blob, open_fs, parts_for, scratch, tidy
 from .token_counts import load_once
 
 #: Bytes of texts in a block; a longer text is a block of its own.
@@ -151,7 +151,7 @@ def distinct_words(texts: DataFrame, parts: int, block: int = BLOCK) -> DataFram
             blobs = pc.binary_join(pa.LargeListArray.from_arrays(np.append(first, len(order)), own), pa.scalar(b" ", pa.large_binary()))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), pa.array([digest(words)] * len(first), pa.binary()), blobs.cast(pa.binary())], names=["bucket", "block", "words"])
 
-    return texts.mapInArrow(run, "bucket int, block binary, words binary")
+    return texts.mapInArrow(tidy(run), "bucket int, block binary, words binary")
 
 
 def encode_words(asked: DataFrame, path: str, parts: int, held: int = HELD) -> DataFrame:
@@ -172,7 +172,7 @@ def encode_words(asked: DataFrame, path: str, parts: int, held: int = HELD) -> D
                 known.know(asked)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([_shard(block, parts)], pa.int32()), "block": pa.array([block], pa.binary()), "bucket": pa.array([bucket], pa.int32()), "ids": pa.array([b"".join(map(known.__getitem__, asked))], pa.binary())})
 
-    return asked.select("bucket", "block", "words").mapInArrow(run, "shard int, block binary, bucket int, ids binary")
+    return asked.select("bucket", "block", "words").mapInArrow(tidy(run), "shard int, block binary, bucket int, ids binary")
 
 
 def write_blocks(encoded: DataFrame, out: str, parts: int) -> None:
@@ -208,7 +208,7 @@ def write_blocks(encoded: DataFrame, out: str, parts: int) -> None:
     laid.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def find_block(out: str, path: str, words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
+def find_block(out: str, unit: str, mark: int, words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
     """How many ids each of a block's words has, and the ids, read from the block's file; None if there is none."""
     own = digest(words)
     filesystem, name = open_fs(f"{out}/{_shard(own, parts)}")
@@ -223,7 +223,6 @@ def find_block(out: str, path: str, words: pa.Array, parts: int) -> tuple[np.nda
             return None
         begin, end = np.frombuffer(index, "<u8", 2, 16 * n + 8 * at).tolist()
         data = f.read_at(end - begin, begin)
-    unit, mark = _unit(path)
     stream = np.frombuffer(data, unit)
     ends = np.flatnonzero(stream == mark)
     lists = pa.LargeListArray.from_arrays(np.append(0, ends - np.arange(len(ends))), pa.array(stream[stream != mark].astype("<u4")))
@@ -240,10 +239,9 @@ def piece_table(path: str) -> pa.Array:
     return pa.array([(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], pa.large_binary())
 
 
-def decode_ids(path: str, ids: pa.LargeListArray) -> pa.Array:
+def decode_ids(pieces: pa.Array, ids: pa.LargeListArray) -> pa.Array:
     """The texts of lists of ids: a join with the id-to-piece table by id, pieces with a space between them."""
-    pieces = piece_table(path).take(ids.values)
-    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, pieces), pa.scalar(b" ", pa.large_binary()))
+    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, pieces.take(ids.values)), pa.scalar(b" ", pa.large_binary()))
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, block: int = BLOCK) -> DataFrame:
@@ -264,10 +262,15 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool, block: int) -> DataFrame:
+    unit, mark = _unit(path)
+    pieces = piece_table(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()  # a worker that has encoded words needs no tokenizer to put texts together
+        load_once.cache_clear()
         for rows in blocks(batches, 1, block):
             n_words, codes, words = split(rows.column(1))
-            found = find_block(out, path, words, parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
+            found = find_block(out, unit, mark, words, parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
             if found is None:
                 made = _encoder(path).ids(as_bytes(words))
                 found = np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), "<u4")
@@ -275,7 +278,7 @@ def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool
             lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.array(of_words))
             every = lists.take(pa.array(codes)).flatten()
             ends = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n_words)])]
-            texts = decode_ids(path, pa.LargeListArray.from_arrays(ends, every))
+            texts = decode_ids(pieces, pa.LargeListArray.from_arrays(ends, every))
             blob, at = memoryview(every.to_numpy()).cast("B") if len(every) else b"", (ends * 4).tolist()
             ids_sha = [hashlib.sha256(blob[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
             columns = [rows.column(0).combine_chunks(), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())]
@@ -286,7 +289,7 @@ def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -297,10 +300,12 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     Null ids of rows stay null, repeated rows stay repeated, other columns are not read.
     """
 
+    pieces = piece_table(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1).cast(pa.large_list(pa.int64()))
-            texts = decode_ids(path, pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]), pa.int64()), lists.flatten()))
+            texts = decode_ids(pieces, pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]), pa.int64()), lists.flatten()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), texts.cast(pa.large_string()), pa.scalar(None, pa.large_string())).cast(pa.string())], names=["id", "decoded"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))

@@ -50,6 +50,25 @@ def test_seeking():
         assert flac.read_samples(stream, at, n) == payload[at : at + n]
 
 
+def test_streams_with_fewer_seek_points(monkeypatch):
+    data = [media_flac.payload("some text \xff\xf8 " * n) for n in (1, 40, 300)]
+    whole = flac.encode(data)
+    monkeypatch.setattr(flac, "POINTS", 4)
+    few = flac.encode(data)
+    assert len(few[2]) < len(whole[2]) and flac.decode(few) == data
+    assert flac.read_samples(few[2], 1000, 500) == data[2][1000:1500]
+
+
+def test_pcm_blocks(spark):
+    docs = odd_docs(spark)
+    rows = media_flac.pcm_blocks(media_flac.to_media(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), frames=3).collect()
+    texts = {r["doc_id"]: r for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    for doc in texts:
+        own = sorted((r["sample"], r["n"], bytes(r["pcm"])) for r in rows if r["doc_id"] == doc)
+        assert [s for s, _, _ in own] == list(range(0, sum(n for _, n, _ in own), 576))
+        assert bytes(b ^ 0x80 for b in b"".join(p for _, _, p in own)) == media_flac.payload(texts[doc]["text"])
+
+
 def test_damage_is_found():
     stream = flac.encode([padded(b"some text that is long enough to matter " * 40)])[0]
     for at in range(0, len(stream), 7):

@@ -79,10 +79,10 @@ def six_digits(value: str) -> Column:
     sign = F.when(power < 0, "-").otherwise("+")
     scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
     scientific = F.when(F.abs(power) > 99, F.concat(mantissa, F.lit("e"), sign, F.abs(power).cast("string"))).otherwise(scientific)
-    digits = F.format_string("%.10f", F.round(x, 10))
+    places = F.greatest(F.lit(0), F.least(F.lit(9), F.lit(5) - power))
     # a number that lies halfway, as only one of so few binary digits can, goes to the even digit
-    few = lambda p: x * float(2 ** (6 - p)) == F.floor(x * float(2 ** (6 - p)))
-    even = lambda p: F.bround(x.cast("decimal(28,12)"), 5 - p).cast("string")
-    fixed = F.coalesce(*[F.when(power == p, F.when(few(p), even(p)).otherwise(F.format_string(f"%.{5 - p}f", x))) for p in range(-4, 6)], digits)
+    halves, tens = x * F.pow(F.lit(2.0), places + 1), F.pow(F.lit(10.0), places)
+    near = F.when(halves == F.floor(halves), F.rint(x * tens) / tens).otherwise(x)
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), places.cast("string"), F.lit("f")), near)
     trimmed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
     return F.when(x == 0, "0").when((power < -4) | (power > 5), scientific).otherwise(trimmed)

@@ -38,7 +38,8 @@ DEVIATIONS = 5
 DENSE = 4
 #: Needed ids up to this count are broadcast (8 bytes each), beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_BLOCK = 512
+#: A block holds about twice so many nodes at most, and about twice so many shingles (8 bytes each) if no text has more.
+_BLOCK, _BLOCK_SHINGLES = 512, 1 << 20
 _U = np.uint64
 
 
@@ -188,12 +189,16 @@ def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``b, i, j, node, label, few``: buckets of several components, centres left out, dealt out to blocks.
 
     Nodes outside the bucket's largest component (``few``) meet all its nodes: each of ``i`` parts of all meets each of
-    ``j`` parts of the few, so a block has at most about twice ``_BLOCK`` rows.
+    ``j`` parts of the few, so a block has at most about twice ``_BLOCK`` rows and twice ``_BLOCK_SHINGLES`` shingles.
     """
     m = members.where("node <> centre").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = m.groupBy("b", "label").agg(F.count(F.lit(1)).alias("size"))
-    about = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("largest")).where("kinds > 1")
-    m = m.join(about.select("b", F.col("largest.label").alias("main"), F.ceil(F.col("all") / _BLOCK).alias("left"), F.ceil((F.col("all") - F.col("largest.size")) / _BLOCK).alias("right")), "b")
+    sizes = m.groupBy("b", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    about = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("size", "label", "n")).alias("largest")).where("kinds > 1")
+    parts = lambda size, n: F.ceil(F.greatest(size / _BLOCK, n / _BLOCK_SHINGLES))
+    left, right = parts(F.col("all"), F.col("all_n")), parts(F.col("all") - F.col("largest.size"), F.col("all_n") - F.col("largest.n"))
+    # a table of its own, one row a bucket: the join either broadcasts it, by its size, or can split a bucket's rows
+    about = cut(about.select("b", F.col("largest.label").alias("main"), left.alias("left"), right.alias("right")), "split-buckets")
+    m = m.join(about, "b")
     h, zero = F.xxhash64("node"), F.lit(0).cast("long")
     every = m.select("b", F.pmod(h, F.col("left")).alias("i"), F.explode(F.sequence(zero, F.col("right") - 1)).alias("j"), "node", "label", F.lit(False).alias("few"))
     few = m.where("label <> main").select("b", F.explode(F.sequence(zero, F.col("left") - 1)).alias("i"), F.pmod(h, F.col("right")).alias("j"), "node", "label", F.lit(True).alias("few"))
@@ -297,7 +302,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest id that a document reaches by links, ``kept`` whether it is its own. Null, empty and blank texts have no
     shingle and no link. Rows with the same text are one node whatever their ids; rows with a null id have
     part in the links, and a component of nulls alone has the id null and nothing kept. An empty table gives an
-    empty one. Texts are read whole, however long: 8 bytes a shingle in memory, for at most about 1024 texts at a time. Ties
+    empty one. Texts are read whole, however long: 8 bytes a shingle in memory, for about 1024 texts or 2M shingles
+    at a time, or one text that has more. Ties
     between centres of a bucket go to the larger digest. Other columns are not read, so extra ones may have any names. A
     link of similarity 0.85 shares no bucket with probability 5e-7.
     """
@@ -305,13 +311,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = cut(_sets(docs), "sets")
     known = sets.where("key is not null")
     nodes = cut(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).withColumnRenamed("key", "node"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = nodes.select("node", "n", F.explode("bands").alias("b"))
+    shared = cut(rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = cut(rows.join(shared, "b"), "members")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     members = members.join(company, "node")
-    centres = members.groupBy("b").agg(F.max(F.struct("company", "node")).alias("x")).select("b", F.col("x.node").alias("centre"))
-    members = cut(members.select("b", "node").join(centres, "b"), "members")
+    centres = cut(members.groupBy("b").agg(F.max(F.struct("company", "node")).alias("x")).select("b", F.col("x.node").alias("centre")), "centres")
+    members = cut(members.select("b", "node", "n").join(centres, "b"), "members")
     star = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     edges = cut(_confirm(cut(_alike(star, nodes, percent), "pairs"), nodes, docs, percent), "edges")
     labels = cut(components(edges), "labels")

@@ -108,9 +108,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing, op11_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op5_minhash": sql.near_duplicates(), "op10_source_mixing": sql.source_mixing()}
+    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op5_minhash": sql.near_duplicates(), "op10_source_mixing": sql.source_mixing(), "op11_source_divergence": sql.source_divergence()}

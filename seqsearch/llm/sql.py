@@ -84,3 +84,21 @@ l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc
 r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
 select doc_id, n as n_shingles, least(doc_id, coalesce(least_b, doc_id)) as component_id, doc_id = least(doc_id, coalesce(least_b, doc_id)) as kept
 from n left join (select a, min(b) as least_b from r group by a) m on m.a = n.doc_id"""
+
+
+def source_divergence() -> str:
+    return r"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as materialized (select lang, term, count(*) as n from w group by all having count(distinct i) >= 10),
+g as materialized (select distinct lang, source from d),
+c as materialized (select lang, source, term, count(*) as n from w group by all),
+t as materialized (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as lang_n from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+s as (select lang, source, sum(n) as total, sum(lang_n) as lang_total, count(*) as v from t group by all),
+p as materialized (select lang, source, term, n, (1 + 1000000000::hugeint * (n + 2) // (total + 2 * v)::hugeint)::bigint as p, (1 + 1000000000::hugeint * (lang_n + 2) // (lang_total + 2 * v)::hugeint)::bigint as q from t join s using (lang, source)),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q)
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 10"""

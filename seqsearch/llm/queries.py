@@ -114,8 +114,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")), least=0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing, op11_source_divergence)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing, op11_source_divergence, op12_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,9 +121,15 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")), least=0.5)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing, op11_source_divergence, op12_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_token_counts, op4_media_flac, op5_minhash, op6_html_extract, op7_word_bpe, op8_token_files, op9_quality_classifier, op10_source_mixing, op11_source_divergence, op12_toxicity, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op5_minhash": sql.near_duplicates(), "op10_source_mixing": sql.source_mixing(), "op11_source_divergence": sql.source_divergence()}
+    return {"op1_quality_rules": sql.quality_rules(), "op2_url_filters": sql.url_filters(URL_EVENTS), "op5_minhash": sql.near_duplicates(), "op10_source_mixing": sql.source_mixing(), "op11_source_divergence": sql.source_divergence(), "op13_prefix_trie": sql.prefix_trie()}

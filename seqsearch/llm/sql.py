@@ -102,3 +102,22 @@ terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) /
 select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
 union all
 select * from (select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 10"""
+
+
+def prefix_trie() -> str:
+    words = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+    # eight steps a byte: the byte itself, then nothing
+    crc = "xor(list_reduce(list_prepend(4294967295::ubigint, flatten([[ascii(x)::ubigint, 0, 0, 0, 0, 0, 0, 0] for x in string_split(conv_id::varchar, '')])), lambda a, x: xor(xor(a, x) >> 1, 3988292384::ubigint * (xor(a, x) & 1))), 4294967295::ubigint)"
+    return f"""
+with o as (select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, sha256(length(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, ''))) as turns from conversations where conv_id is not null group by conv_id),
+c as (select *, ({crc} % 4)::bigint as h from o),
+r as materialized (select c.conv_id, coalesce(b.turns, [])[:c.h] || c.turns[c.h + 1:] as turns from c left join o b on b.conv_id = c.conv_id - c.conv_id % 20),
+p as materialized (select conv_id, len(turns) as n, unnest(range(0, len(turns) + 1)) as depth, turns from r),
+q as materialized (select conv_id, n, depth, turns[:depth] as path from p),
+m as materialized (select path, any_value(depth)::bigint as depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = n), '') as ends from q group by path),
+k as (select path[:depth - 1] as path, count(*) as n_children from m where depth > 0 group by 1),
+w as materialized (select m.*, coalesce(k.n_children, 0)::bigint as n_children, case when m.depth > 0 then (n_convs - 1) * {words.format("m.path[m.depth].text")} else 0 end as saved from m left join k on k.path = m.path),
+u as (select path[:d] as path, saved, n_children from (select path, saved, n_children, unnest(range(0, depth + 1)) as d from w)),
+t as (select path, sum(saved)::bigint as saved_tokens, count(*) filter (where n_children = 0) as n_leaves from u group by path)
+select w.conv_id, w.depth, a.conv_id as parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens, sha256(w.ends) as ends_sha256
+from w join t on t.path = w.path left join w a on w.depth > 0 and a.path = w.path[:w.depth - 1]"""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, tidy
 from .quality_classifier import held_out
 
-SAMPLE, LEAST_DOCS, FEATURES = 12_000, 4, 1 << 19
+SAMPLE, LEAST_DOCS, FEATURES = 12_000, 4, 1 << 17
 SHARDS, EPOCHS = 8, 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.1
 #: Toxic documents are the rarer ones; each counts as so many.
@@ -157,11 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     id_type = source.schema["id"].dataType.simpleString()
     made = cut(source.mapInArrow(tidy(distinct), f"id {id_type}, label int, features array<bigint>"), "toxic-features")
     often = made.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCS)
-    chosen = sorted((r[0], r[1]) for r in often.orderBy(F.desc("c"), "f").limit(FEATURES).toLocalIterator())
-    vocabulary, size = np.array([f for f, _ in chosen], "<i8"), len(chosen) + 1
+    frequent = often.orderBy(F.desc("c"), "f").limit(FEATURES).toArrow().sort_by("f")
+    vocabulary, size = frequent.column("f").to_numpy(), len(frequent) + 1
     # what few texts have counts for more: its value falls from 1 to 0 as it gets more common; the bias has 1
     total = max(2, made.count())
-    value = np.append(np.log(total / np.array([c for _, c in chosen], np.float64)) / max(np.log(total / LEAST_DOCS), 1.0), 1.0)
+    value = np.append(np.log(total / frequent.column("c").to_numpy()) / max(np.log(total / LEAST_DOCS), 1.0), 1.0)
     context = docs.sparkSession.sparkContext
     shared, values = context.broadcast(vocabulary), context.broadcast(value)
 
@@ -180,13 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(epochs):
         state = context.broadcast((z, n))
-        moves = sorted(rows.groupBy("shard").applyInArrow(_learner(state, values), "shard bigint, at binary, z binary, n binary").collect())
+        moves = rows.groupBy("shard").applyInArrow(_learner(state, values), "shard bigint, at binary, z binary, n binary").toArrow().sort_by("shard")
         z, n = z.copy(), n.copy()
-        for _, *moved in moves:
-            at, dz, dn = (np.frombuffer(x, kind) for x, kind in zip(moved, ("<i4", "<f8", "<f8"), strict=True))
+        for moved in zip(*(moves.column(x) for x in ("at", "z", "n")), strict=True):
+            at, dz, dn = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(moved, ("<i4", "<f8", "<f8"), strict=True))
             z[at] += dz / len(moves)
             n[at] += dn / len(moves)
-        state.unpersist()
+        state.destroy()
     w = (weights(z, n) * value)[:-1]
     kept = np.flatnonzero(w)
     return Model(vocabulary[kept].view("<u8"), w[kept], float(weights(z[-1], n[-1], 0.0)))

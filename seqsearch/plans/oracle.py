@@ -29,10 +29,14 @@ _CANDS = f"{_VOTES}, c as (select * from v where votes >= floor(log10(q_len::dou
 _LAID = f"{_S}, l as (select s_id, s_len::bigint as s_len, coalesce(sum(s_len + 1) over (order by s_id rows between unbounded preceding and 1 preceding), 0)::bigint as s_offset from s), v as (select *, s_offset // {VOLUME} // 16 as part, s_offset // {VOLUME} % 16 as stream from l), d as (select part, stream, count(*) as n_seqs, sum(s_len)::bigint as residues, sum(s_len + 1)::bigint as slots from v group by all)"
 
 
-def _filled(band: int = 8, ways: bool = False) -> str:
+#: Statistics of an alignment in one number: columns, mismatches, positives, gaps, gap openings; where each begins.
+_FIELDS = {"align_length": (0, 13), "mismatch": (13, 13), "positive": (26, 13), "gaps": (39, 11), "gap_open": (50, 11)}
+
+
+def _filled(band: int = 8, ways: bool = False, counts: bool = False, cands: str = "") -> str:
     """The recurrence as a recursive query over all candidates: a step for each query residue, columns for each offset of the
     band. ``using key`` holds the last step of each candidate only; with ``ways`` also all steps' ways back, two bits a cell,
-    eight hexadecimal digits a step."""
+    eight hexadecimal digits a step; with ``counts`` instead each cell's begin and statistics of its way, carried forward."""
     width = 2 * band
     cells = range(1, width + 1)
     matrix = "[" + ", ".join(f"{int(x)}::smallint" for x in blosum62().ravel()) + "]"
@@ -48,9 +52,25 @@ def _filled(band: int = 8, ways: bool = False) -> str:
     state = ", ".join(each(f"{c}{{o}}") for c in "smxh")
     way = " + ".join(f"((case when nh{o} = 0 then 0 when nh{o} = nm{o} then 3 when nh{o} = ny{o} then 2 else 1 end)::bigint << {2 * o - 2})" for o in cells)
     kept = (", ways", ", ''", f", ways || lpad(to_hex({way}), 8, '0')") if ways else ("", "", "")
+    one = {name: 1 << at for name, (at, _) in _FIELDS.items()}
+    gap = one["align_length"] + one["mismatch"] + one["gaps"]
+    step = f"{one['align_length']}::bigint + (qc <> w{{o}})::bigint * {one['mismatch']} + p{{o}} * {one['positive']}"
+    cell = "(case when nh{o} = 0 then 0 when nh{o} = nm{o} then 3 when nh{o} = ny{o} then 2 else 1 end)::tinyint as nd{o}, "
+    cell += "(case nd{o} when 0 then 0 when 3 then case when h{o} > 0 then a{o} else i * 32 + {o} end when 2 then {left_a} else {top_a} end)::int as na{o}, "
+    cell += f"(case nd{{o}} when 0 then 0 when 3 then case when h{{o}} > 0 then b{{o}} else 0 end + {step} when 2 then {{left_b}} else {{top_b}} end)::bigint as nb{{o}}"
+    inner = lambda o: {"left_a": f"na{o - 1}" if o > 1 else "0", "left_b": f"nb{o - 1} + {gap} + (nd{o - 1} <> 2)::bigint * {one['gap_open']}" if o > 1 else "0"}
+    outer = lambda o: {"top_a": f"a{o + 1}" if o < width else "0", "top_b": f"b{o + 1} + {gap} + (d{o + 1} <> 1)::bigint * {one['gap_open']}" if o < width else "0"}
+    told = ", ".join(cell.format(o=o, **inner(o), **outer(o)) for o in cells)
+    if counts:
+        pick = lambda c: "case o " + " ".join(f"when {o} then n{c}{o}" for o in cells) + " end"
+        state += f", best_a, best_b, {each('d{o}')}, {each('a{o}')}, {each('b{o}')}"
+        nothing = ", ".join(each(f"0::{kind}") for kind in ("tinyint", "int", "bigint"))
+        kept = ("", f", 0::int, 0::bigint, {nothing}", f", case when better then {pick('a')} else best_a end, case when better then {pick('b')} else best_b end, {each('nd{o}')}, {each('na{o}')}, {each('nb{o}')}")
+    more = f", {told}" if counts else ""
+    good = ", " + each("coalesce(mx.m[qc * 26 + w{o} + 1] > 0, false)::bigint as p{o}") if counts else ""
     begin = f"(8 * bin + 3 - q_len + 1 - {band})"
     return f"""
-with recursive {_CANDS},
+with recursive {cands or _CANDS},
 t as materialized (select *, repeat('!', greatest(-first, 0)::int) || substring(s_seq, greatest(first, 0)::int + 1, greatest(q_len + {width} + least(first, 0), 0)::int) || repeat('!', (q_len + {width})::int) as piece
  from (select row_number() over () as k, c.q_id, c.s_id, bin, q_seq, q.q_len, s_seq, s_len, {begin.replace('q_len', 'q.q_len')} as first from c join q using (q_id) join s using (s_id))),
 mx as (select {matrix} as m),
@@ -59,8 +79,8 @@ r(k, i, best, best_i, best_o, {state}{kept[0]}) using key (k) as (
  union
  select k, i + 1, case when better then top::int else best end, case when better then i else best_i end, case when better then o else best_o end, {each("w{o}")}, {each("nm{o}")}, {each("nx{o}")}, {each("nh{o}")}{kept[2]}
  from (select *, top > best or (top = best and top > 0 and (2 * i + o < 2 * best_i + best_o or (2 * i + o = 2 * best_i + best_o and o > best_o))) as better
- from (select *, {first} as o from (select *, greatest({each("nh{o}")}) as top from (select *, {each("greatest(nm{o}, nx{o}, ny{o}) as nh{o}")}
- from (select *, {y} from (select *, {x}, {m}
+ from (select *, {first} as o from (select *, greatest({each("nh{o}")}) as top{more} from (select *, {each("greatest(nm{o}, nx{o}, ny{o}) as nh{o}")}
+ from (select *, {y} from (select *, {x}, {m}{good}
  from (select r.*, {window}, ascii(substring(q_seq, i + 1, 1)) - 65 as qc from r join (select k, q_seq, q_len, piece from t) t using (k) where i < q_len) z, mx)))))))
 """
 
@@ -69,6 +89,21 @@ def _banded() -> str:
     return _filled() + "select q_id, s_id, bin, best::bigint as score, best_i::bigint as q_end, (first + best_i + best_o - 1)::bigint as s_end from r join t using (k) where best > 0"
 
 
+def _ranked(where: str = "", cands: str = "", names: str = "select doc_id as s_id, 'doc' || doc_id || ' ' || source as s_name from documents", counts: bool = True) -> str:
+    """``z``: all alignments that are reported, ranked, with statistics (if ``counts``) and without aligned strings, so that no
+    way has to be traced back."""
+    told = ", ".join(f"(best_b >> {at} & {(1 << bits) - 1})::int as {name}" for name, (at, bits) in _FIELDS.items())
+    told = f", (best_a // 32)::int as q_begin, best_i::int as q_end, (first + best_a // 32 + best_a % 32 - 1)::int as s_begin, (first + best_i + best_o - 1)::int as s_end, {told}" if counts else ""
+    extra = ", (1 - mismatch / align_length::double) * 100 as p_identity, align_length - mismatch as n_identity, substring(s_seq, s_begin + 1, s_end - s_begin + 1) as s_ori" if counts else ""
+    return f"""{_filled(counts=counts, cands=cands)},
+e as (select t.q_id, t.s_id, t.bin, c.votes, t.q_len, t.s_len, t.s_seq, best::int as score{told} from r join t using (k) join c on t.q_id = c.q_id and t.s_id = c.s_id and t.bin = c.bin where best > 0),
+n as (select sum(s_len + 1)::double as n from s),
+f as (select *{extra}, floor(({LAMBDA}::double * score - ln({EK}::double)) / {LN2}::double)::int as bitscore from e),
+z as materialized (select *, row_number() over (partition by q_id order by evalue, score desc, s_id, bin)::int as rank, 'item' || q_id || ' benchmark' as q_name
+ from (select f.*, n * q_len * pow(2.0::double, -bitscore) as evalue from f, n) join ({names}) using (s_id) where evalue <= 10{where})
+"""
+
+
 def _aligned(where: str = "") -> str:
     """Adds ``a``: the alignments of all candidates, traced back step by step, with strings, statistics, scores and names;
     ``z``: those of them that are reported, ranked."""
@@ -98,6 +133,10 @@ def _line(text: str) -> str:
     return f"{_aligned()} select q_id, rank, {text} as line from z"
 
 
+def _plain_line(text: str, counts: bool = True) -> str:
+    return f"{_ranked(counts=counts)} select q_id, rank, {text} as line from z"
+
+
 def _tabbed(*columns: str) -> str:
     return " || ".join(f"({c})::varchar || chr(9)" for c in columns)
 
@@ -109,10 +148,18 @@ def _six(column: str) -> str:
 _IDS = "split_part(q_name, ' ', 1)", "split_part(s_name, ' ', 1)"
 
 
+def _two_stores() -> str:
+    """Documents and turns of conversations as two databases, each in an order of ids of its own; three hits a query."""
+    every = f"select doc_id * 2 as s_id, text from documents union all select (conv_id * 1000 + turn) * 2 + 1, text from conversations"
+    both = _CANDS.replace(_S, f"s as (select s_id, {_CLEAN.format('text')} as s_seq, length({_CLEAN.format('text')}) as s_len from ({every}))")
+    return f"{_ranked(cands=both, names='select s_id, 0 as s_name from s', counts=False)} select q_id, (s_id % 2)::int as db, s_id // 2 as s_id, bin, votes, score, evalue, rank from z where rank <= 3"
+
+
 def oracle_sql() -> dict[str, str]:
     expression, times = INCLUDE[0]
     count = lambda text: f"len(regexp_extract_all({text}, '{expression}'))"
     window = "substring(s_seq, (greatest(8 * bin + 3 - 8 - q.q_len, 0))::int + 1, (greatest(least(8 * bin + 3 + 8, s_len) - greatest(8 * bin + 3 - 8 - q.q_len, 0), 0))::int)"
+    window_of, ori = window.replace("q.q_len", "q_len"), "s_ori"
     parts = f"p as (select p_partkey as s_id, {_CLEAN.format('p_name')} as s_seq from part)"
     grid = ", ".join(f"floor(log10(q_len::double) + {p + 5 - k}::double)::bigint as k{k}_p{p}" for k in (3, 4, 5) for p in (0, 1, 2))
     pairs = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS))
@@ -149,9 +196,11 @@ select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-
         "banded_sw_score": _banded(),
         "gap_stats": f"{_aligned()} select count(*) as hits, sum(gaps)::bigint as gaps, sum(gap_open)::bigint as gap_opens, sum(mismatch)::bigint as mismatches, sum(positive)::bigint as positives from a",
         "search_hits": f"{_aligned(' and score >= 40')} select q_id, s_id, bin, votes, q_len, s_len, score, align_length, p_identity, n_identity, mismatch, positive, gap_open, gaps, q_begin, q_end, s_begin, s_end, q_aln, s_aln, s_ori, match, bitscore, evalue, rank, q_name, s_name from z",
-        "search_m8": _line(_tabbed(*_IDS, _six("p_identity"), "align_length", "mismatch", "gap_open", "q_begin", "q_end", "s_begin", "s_end", _six("evalue"), "score")),
-        "search_extended": _line(_tabbed(*_IDS[::-1], "q_name", _six("evalue"), "bitscore", "score", "align_length", _six("p_identity"), "n_identity", "mismatch", "positive", "gap_open", "gaps", _six("positive / align_length::double * 100"), _six("(s_end - s_begin) / s_len::double * 100"), "s_ori")),
-        "search_reduced": _line(_tabbed(*_IDS, _six("evalue"), "score", "bitscore")),
+        "search_m8": _plain_line(_tabbed(*_IDS, _six("p_identity"), "align_length", "mismatch", "gap_open", "q_begin", "q_end", "s_begin", "s_end", _six("evalue"), "score")),
+        "search_extended": _plain_line(_tabbed(*_IDS[::-1], "q_name", _six("evalue"), "bitscore", "score", "align_length", _six("p_identity"), "n_identity", "mismatch", "positive", "gap_open", "gaps", _six("positive / align_length::double * 100"), _six("(s_end - s_begin) / s_len::double * 100"), "s_ori")),
+        "search_reduced": _plain_line(_tabbed(*_IDS, _six("evalue"), "score", "bitscore"), counts=False),
+        "search_must_include": f"{_ranked(f' and {count(window_of)} >= {times} and {count(ori)} >= {times}')} select q_id, s_id, bin, score, s_ori, rank from z",
+        "search_two_stores": _two_stores(),
         "identity_stats": f"select id, {gaps('-')} as gaps, {gaps('-+')} as gap_open, {differ} as mismatch, (length(q_aln) - {differ})::int as identity from (values {pairs}) t(id, q_aln, s_aln)",
     }
 

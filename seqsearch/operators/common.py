@@ -20,6 +20,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/seqsearch/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it again: lineage ends there, and what is read is the same
+    however often."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a hint to broadcast it if it has at most ``most`` rows; else joins shuffle it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .operators.include import java_pattern
+
 FORMATS = {0: "tabular", 1: "pairwise", 2: "fasta", 3: "extended", 4: "a3m", 5: "reduced"}
 
 
@@ -13,7 +15,7 @@ class SearchConfig:
 
     ``search_space``: "slots" counts residues and one terminator for each sequence; "padded" rounds that up by volumes as a
     packed store does; a number is taken as it is. ``bin_origin``: "subject" counts diagonals from each subject's start,
-    "volume" from its ``s_offset`` in the store, so that bins fall as they do over concatenated sequences. ``must_include``: pairs of a regular expression and how often it has to
+    "volume" from its ``s_offset`` in the store, so that bins fall as they do over concatenated sequences. ``must_include``: pairs of an ECMAScript expression and how often it has to
     occur. ``min_votes`` raises the vote threshold where it is larger. ``keep_illegal_seeds`` and ``blank_tail_a`` bring back
     two seeding habits of older programs: seeds with illegal residues, and no seeds of three equal letters before A's.
     """
@@ -47,3 +49,5 @@ class SearchConfig:
             raise ValueError("bin_origin must be 'subject' or 'volume'")
         if any(len(x) != 2 or int(x[1]) < 1 for x in self.must_include):
             raise ValueError("must_include takes pairs of an expression and a count of at least 1")
+        for expression, _ in self.must_include:
+            java_pattern(expression)

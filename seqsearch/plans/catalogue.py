@@ -22,6 +22,7 @@ K = 5
 #: Volumes of this many slots in the layout queries, so that even the smallest table has several.
 VOLUME = 100_000
 INCLUDE = (("T[A-Z]{1,3}E", 2),)
+RESTARTING = {"anchored": "^[A-Z]{2}[EHT]", "empty": "Q*", "ahead": "E(?=[A-Z]?R)"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +152,12 @@ def must_include_count(spark, sf_dir):
     return _subjects(spark, sf_dir).select("s_id", F.regexp_count("s_seq", F.lit(INCLUDE[0][0])).cast("long").alias("n"), include.includes(F.col("s_seq"), INCLUDE).alias("enough"))
 
 
+def must_include_restart(spark, sf_dir):
+    """Expressions that depend on where a search begins, each going on behind its last match; counts up to three"""
+    seq = F.col("s_seq")
+    return _subjects(spark, sf_dir).select("s_id", *[include.count_matches(seq, e, 3).cast("long").alias(name) for name, e in RESTARTING.items()])
+
+
 def bitscore_evalue(spark, sf_dir):
     """Over a grid of scores"""
     grid = spark.range(0, 500).select(F.col("id").alias("score"), F.lit(100).alias("q_len")).withColumn("bitscore", scoring.bitscore("score"))
@@ -246,6 +253,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (seq_normalize, fasta_records, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, volume_rebalance, store_roundtrip, db_stats, search_space, position_to_subject, must_include_window, must_include_count, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include, search_two_stores)
+    plain = (seq_normalize, fasta_records, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, volume_rebalance, store_roundtrip, db_stats, search_space, position_to_subject, must_include_window, must_include_count, must_include_restart, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include, search_two_stores)
     layouts = {"search_m8": 0, "search_pairwise": 1, "search_fasta": 2, "search_extended": 3, "search_a3m": 4, "search_reduced": 5}
     return {f.__name__: f for f in plain} | {name: _layout(fmt) for name, fmt in layouts.items()}

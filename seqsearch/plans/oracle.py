@@ -188,6 +188,8 @@ select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-
         "store_roundtrip": f"with {_LAID} select s_id, 'doc' || s_id as name, md5(s_seq) as seq, v.s_len, s_offset, part, stream from v join s using (s_id)",
         "must_include_window": f"with {_CANDS} select c.q_id, c.s_id, bin, votes from c join q using (q_id) join s using (s_id) where {count(window)} >= {times}",
         "must_include_count": f"with {_S} select s_id, {count('s_seq')}::bigint as n, {count('s_seq')} >= {times} as enough from s",
+        # a repeat of an anchored expression is its concatenation; no expression ends with what it looked ahead to
+        "must_include_restart": f"with {_S} select s_id, (regexp_matches(s_seq, '^[A-Z]{{2}}[EHT]')::int + regexp_matches(s_seq, '^([A-Z]{{2}}[EHT]){{2}}')::int + regexp_matches(s_seq, '^([A-Z]{{2}}[EHT]){{3}}')::int)::bigint as anchored, 3::bigint as empty, least(len([1 for x in list_zip(a, a[2:], a[3:]) if x[1] = 'E' and coalesce(x[2] = 'R' or x[3] = 'R', false)]), 3)::bigint as ahead from (select *, string_split(s_seq, '') as a from s)",
         "bitscore_evalue": f"with g as (select unnest(range(0, 500)) as score), b as (select score, 100 as q_len, floor(({LAMBDA}::double * score - ln({EK}::double)) / {LN2}::double)::int as bitscore from g) select score, q_len, bitscore, 1000000::double * q_len * pow(2.0::double, -bitscore) as evalue from b",
         "threshold_grid": f"select q_len, {grid} from (select unnest(range(1, 2000)) as q_len)",
         "topn_per_query": f"with {_CANDS} select * from (select q_id, s_id, bin, votes, row_number() over (partition by q_id order by votes desc, s_id, bin)::int as rank from c) where rank <= 3",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,14 @@ def spread(df: DataFrame) -> DataFrame:
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * split else df
+
+
+def pieces(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """``(begin, end)`` of runs of rows whose ``sizes`` come to ``most`` at most, and of ``rows`` rows at most; a row that is larger
+    is a run of its own."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        end = min(max(end, at + 1), at + rows)
+        yield at, end
+        at = end

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import SearchConfig
 from ..functions.scoring import diagonal_bin, threshold
-from .common import spread
+from .common import pieces, spread
 from .seedindex import SeedIndex
 from .seeds import seeds
 
@@ -27,6 +27,8 @@ from .seeds import seeds
 INDEXED = 64_000_000
 #: Letters of a group of queries: an index of about 16 bytes each, and a table of at most 60 MB, in each worker.
 GROUP = 2_000_000
+#: Letters of subjects, and subjects, that are looked at together: about 10 bytes a letter.
+TOGETHER, SUBJECTS = 1 << 22, 1024
 
 
 def origin(cfg: SearchConfig) -> Column:
@@ -82,8 +84,8 @@ def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(sequences, k, illegal, blank, least if what == "candidates" else None)
             for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 1024)
+                for at, end in pieces(pa.compute.binary_length(whole.column(1)).fill_null(0).to_numpy(), TOGETHER, SUBJECTS):
+                    batch = whole.slice(at, end - at)
                     data, n = _letters(batch.column(1))
                     start = batch.column(2).to_numpy(zero_copy_only=False)
                     first = np.cumsum(n) - n

@@ -52,6 +52,19 @@ def fasta_records(spark, sf_dir):
     return fasta.parse(turns.select("conv_id", "turn", text.alias("value")), "value", "db", ("conv_id", "turn"))
 
 
+def fasta_files(spark, sf_dir):
+    """A1, A2: documents as FASTA files of several records, each file with a line before its first record, read back"""
+    out = scratch(spark, "fasta")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    content = F.regexp_replace(F.translate(F.col("text"), " ", "-"), "[\n>]+", "\n")
+    record = F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" of the table\n"), content)
+    # rows of a file go out in order; the first of each is text that is no record
+    head = F.when(F.monotonically_increasing_id() % (1 << 33) == 0, F.concat(F.lit("# no record\nACGT\n"), record)).otherwise(record)
+    docs.where("text is not null").select(head.alias("value")).write.text(out)
+    found = fasta.read_fasta(spark, out, "db")
+    return found.select("name", F.md5("seq").alias("seq"), F.length("seq").cast("long").alias("s_len"))
+
+
 def kmer_explode(spark, sf_dir):
     """B2, B4"""
     return seeds.kmers(_queries(spark, sf_dir), "q_id", "q_seq", K)
@@ -129,7 +142,7 @@ def search_space(spark, sf_dir):
 
 def position_to_subject(spark, sf_dir):
     """D3: the first, middle and last slot of each subject, and of the terminator behind it"""
-    laid = store.layout(_subjects(spark, sf_dir).select("s_id", "s_len"), max_residues=VOLUME)
+    laid = store.offsets(_subjects(spark, sf_dir).select("s_id", "s_len"), "s_id", "s_len")
     places = F.array(F.lit(0), F.expr("s_len div 2"), F.greatest(F.col("s_len") - 1, F.lit(0)), F.col("s_len"))
     asked = laid.select(F.explode(F.array_distinct(F.transform(places, lambda p: F.col("s_offset") + p))).alias("pos"))
     return store.position_to_subject(asked, laid)
@@ -253,6 +266,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (seq_normalize, fasta_records, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, volume_rebalance, store_roundtrip, db_stats, search_space, position_to_subject, must_include_window, must_include_count, must_include_restart, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include, search_two_stores)
+    plain = (seq_normalize, fasta_records, fasta_files, kmer_explode, kmer_homopolymer_filter, kmer_code, kmer_index_stats, short_sequences, seed_join, diag_votes, vote_filter, volume_layout, volume_rebalance, store_roundtrip, db_stats, search_space, position_to_subject, must_include_window, must_include_count, must_include_restart, bitscore_evalue, threshold_grid, topn_per_query, multi_db_union, id_extract, banded_sw_score, gap_stats, identity_stats, search_hits, search_must_include, search_two_stores)
     layouts = {"search_m8": 0, "search_pairwise": 1, "search_fasta": 2, "search_extended": 3, "search_a3m": 4, "search_reduced": 5}
     return {f.__name__: f for f in plain} | {name: _layout(fmt) for name, fmt in layouts.items()}

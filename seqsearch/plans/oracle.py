@@ -26,7 +26,12 @@ _VOTES = f"{_HITS}, v as (select q_id, q_len, s_id, bin, count(*) as votes from
 _CANDS = f"{_VOTES}, c as (select * from v where votes >= floor(log10(q_len::double) + 1.0::double + 5 - {SEED})::bigint + 1)"
 
 
-_LAID = f"{_S}, l as (select s_id, s_len::bigint as s_len, coalesce(sum(s_len + 1) over (order by s_id rows between unbounded preceding and 1 preceding), 0)::bigint as s_offset from s), v as (select *, s_offset // {VOLUME} // 16 as part, s_offset // {VOLUME} % 16 as stream from l), d as (select part, stream, count(*) as n_seqs, sum(s_len)::bigint as residues, sum(s_len + 1)::bigint as slots from v group by all)"
+#: Volumes one after the other: each row continues the one before it, or begins the next volume.
+_LAID = f"""recursive {_S}, l as materialized (select s_id, s_len::bigint as s_len, coalesce(sum(s_len + 1) over (order by s_id rows between unbounded preceding and 1 preceding), 0)::bigint as s_offset, row_number() over (order by s_id) as i from s),
+g as (select 0::bigint as i, 0::bigint as ptr, 0::bigint as volume union all
+ select l.i, case when ptr + s_len >= {VOLUME} then 0 else ptr end + s_len + 1, volume + (ptr + s_len >= {VOLUME})::bigint from g join l on l.i = g.i + 1),
+v as materialized (select s_id, s_len, s_offset, l.i, volume // 16 as part, volume % 16 as stream from l join g using (i)),
+d as (select part, stream, count(*) as n_seqs, sum(s_len)::bigint as residues, sum(s_len + 1)::bigint as slots from v group by all)"""
 
 
 #: Statistics of an alignment in one number: columns, mismatches, positives, gaps, gap openings; where each begins.
@@ -172,6 +177,12 @@ with r as (select conv_id, turn, 'c' || conv_id || ' ' || role as name, string_s
 e as (select *, list_position([x = '' or starts_with(x, '#') for x in lines], true) as n from r),
 b as (select conv_id, turn, name, array_to_string(lines[:case when n > 0 then n - 1 else len(lines) end], '') as raw from e)
 select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-z]', '*', 'g')) as seq from b where name <> '' and not contains(raw, ' ')""",
+        "fasta_files": """
+with r as (select 'doc' || doc_id || ' of the table' as name, string_split(regexp_replace(translate(text, ' ', '-'), '[\n>]+', chr(10), 'g'), chr(10)) as lines from documents where text is not null),
+e as (select *, list_position([x = '' or starts_with(x, '#') for x in lines], true) as n from r),
+b as (select name, array_to_string(lines[:case when n > 0 then n - 1 else len(lines) end], '') as raw from e),
+s as (select name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-z]', '*', 'g')) as seq from b where not contains(raw, ' '))
+select name, md5(seq) as seq, length(seq)::bigint as s_len from s""",
         "kmer_explode": f"with {_Q}, {_kmers('k', 'q', 'q_id', 'q_seq', SEED, seeds=False)} select q_id, pos, kmer from k",
         "kmer_homopolymer_filter": f"with {_Q}, {_kmers('k', 'q', 'q_id', 'q_seq', 3)} select q_id, pos, kmer from k",
         "kmer_code": f"with {_Q}, {_kmers('k', 'q', 'q_id', 'q_seq', SEED, seeds=False)} select distinct kmer, ({' + '.join(f'(ascii(kmer[{i + 1}]) - 65)::bigint * {32**i}' for i in range(SEED))})::bigint as code from k",
@@ -184,7 +195,11 @@ select conv_id, turn, name, upper(regexp_replace(replace(raw, '-', ''), '[^A-Za-
         "db_stats": f"with {_LAID} select * from d",
         "search_space": f"with {_LAID} select sum(slots)::bigint as slots, sum(32 * (slots // 32 + 1))::bigint as padded from d",
         "position_to_subject": f"with {_LAID}, x as (select s_offset + unnest(list_distinct([0, s_len // 2, greatest(s_len - 1, 0), s_len])) as pos from l) select pos, s_id, pos - s_offset as s_pos from x asof join l on pos >= s_offset",
-        "volume_rebalance": f"with {_LAID}, z as (select max(s_offset + s_len) as last from l), y as (select *, last // {16 * VOLUME} as p, (last - last // {16 * VOLUME} * {16 * VOLUME}) // 16 + 1 as even from v, z) select s_id, s_offset, part, case when part = p then (s_offset - p * {16 * VOLUME}) // even else stream end as stream from y",
+        "volume_rebalance": f"""with {_LAID}, z as (select max(part) as part from d), y as (select (sum(32 * (slots // 32 + 2))::bigint - 1) // 16 + 1 as share from d where part = (select part from z)),
+x as materialized (select *, row_number() over (order by i) as k from v where part = (select part from z)),
+e as (select 0::bigint as k, 0::bigint as ptr, 0::bigint as stream, 0::bigint as own union all
+ select x.k, case when ptr + s_len + 1 >= share then 0 else ptr + s_len + 1 end, e.stream + (ptr + s_len + 1 >= share)::bigint, e.stream from e join x on x.k = e.k + 1, y)
+select v.s_id, v.s_offset, v.part, coalesce(e.own, v.stream) as stream from v left join x using (i) left join e on e.k = x.k""",
         "store_roundtrip": f"with {_LAID} select s_id, 'doc' || s_id as name, md5(s_seq) as seq, v.s_len, s_offset, part, stream from v join s using (s_id)",
         "must_include_window": f"with {_CANDS} select c.q_id, c.s_id, bin, votes from c join q using (q_id) join s using (s_id) where {count(window)} >= {times}",
         "must_include_count": f"with {_S} select s_id, {count('s_seq')}::bigint as n, {count('s_seq')} >= {times} as enough from s",

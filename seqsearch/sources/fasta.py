@@ -26,15 +26,23 @@ def parse(records: DataFrame, text: str = "value", role: str = "db", keep: tuple
 
 
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``value`` for each record of FASTA files: split by Spark at line starts of ``>``, so large files are read in parallel."""
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    # the first record of a file still has its mark, the last one its line feed
-    return raw.select(F.regexp_replace(F.regexp_replace("value", r"\A>", ""), r"\n\z", "").alias("value"))
+    """``value`` for each record of FASTA files, without its ``>``. What stands before a file's first ``>`` is no record.
+
+    Spark splits the files at line starts of ``>``, so large ones are read in parallel by all cores. Only a file's first piece
+    still has its ``>``, or is no record if it has none; it is the first row of the split that begins the file. Files of
+    any length give one row each to find it, and splits are the same whenever the files are read.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("first")).select(F.col("first"), F.lit(True).alias("begins"))
+    # by the row's number, so that the rows stay where they are read
+    pieces = raw.join(F.broadcast(first), F.col("row") == F.col("first"), "left")
+    whole = F.when(F.col("begins"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    kept = pieces.where(F.col("begins").isNull() | F.col("value").startswith(">"))
+    return kept.select(F.regexp_replace(whole, r"\n\z", "").alias("value"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], role: str = "db") -> DataFrame:
-    """``name, seq`` of FASTA files. Text before a file's first ``>`` that isn't a record is read as one by its first
-    line; well-formed files have none."""
+    """``name, seq`` of the records of FASTA files."""
     return parse(records(spark, path), "value", role)
 
 

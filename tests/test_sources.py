@@ -47,6 +47,26 @@ def test_roles_are_checked(spark, file):
         fasta.read_fasta(spark, file, "other")
 
 
+def test_text_before_the_first_record_is_none(spark, tmp_path):
+    """In each of several files, in splits of a few bytes too; a name may begin with the mark itself."""
+    contents = {"a": "junk line\n>A x\nMKV\n>B\nAC\n", "b": ">>odd\nMK\n>C\nA", "c": "\n\n>D\nGG\n\nlost\n>E\nLL", "d": "nothing here\nat all\n", "e": "", "f": "ACGT\n>>F\nW\n>G\n"}
+    for name, text in contents.items():
+        (tmp_path / f"{name}.fa").write_text(text)
+    wanted = {"A x": "MKV", "B": "AC", ">odd": "MK", "C": "A", "D": "GG", "E": "LL", ">F": "W", "G": ""}
+    assert {r["name"]: r["seq"] for r in fasta.read_fasta(spark, f"{tmp_path}/*.fa").collect()} == wanted
+    (tmp_path / "long.fa").write_text("before\n" + "".join(f">r{i}\n{'ACDEFGHIKL' * (i % 40)}\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        found = fasta.with_ids(fasta.read_fasta(spark, f"{tmp_path}/long.fa"), "s")
+        assert found.rdd.getNumPartitions() > 10
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["s_name"], r["s_len"]) for r in rows) == sorted((f"r{i}", i % 40 * 10) for i in range(2000))
+    assert sorted(r["s_id"] for r in rows) == list(range(2000))
+
+
 def test_ids_follow_the_file(spark, file):
     got = fasta.with_ids(fasta.read_fasta(spark, file, "db"), "s").orderBy("s_id").collect()
     assert [(r["s_id"], r["s_name"], r["s_len"]) for r in got] == [(0, "one first record", 8), (1, "three #x", 5), (2, "empty", 0), (3, "last", 4)]
@@ -61,15 +81,56 @@ def test_kmers_of_short_and_null_sequences(spark):
     assert [r["s_id"] for r in seeds.seeds(tails, "s_id", "s", 5, blank_tail_a=True).collect()] == [2]
 
 
+def filled(lengths, most):
+    """Volumes one after the other: a sequence that would bring the present one to ``most`` begins the next."""
+    at, volume, out = 0, 0, []
+    for n in lengths:
+        if at + n >= most:
+            at, volume = 0, volume + 1
+        at += n + 1
+        out.append(volume)
+    return out
+
+
+def dealt(lengths, share):
+    """Volumes that end behind the sequence with which they have their share."""
+    at, volume, out = 0, 0, []
+    for n in lengths:
+        out.append(volume)
+        at += n + 1
+        if at >= share:
+            at, volume = 0, volume + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_volumes_are_filled_in_turn(spark, seed):
+    import random
+
+    dice = random.Random(seed)
+    lengths = [dice.choice([0, 1, 9, 30, 99, 100, 250]) for _ in range(300)] if seed else [500, 0, 0, 1000, 99, 1]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "s_id long, s_len int")
+    got = [(r["part"], r["stream"]) for r in store.layout(rows, max_residues=100, streams=4).orderBy("s_id").collect()]
+    wanted = filled(lengths, 100)
+    assert got == [(v // 4, v % 4) for v in wanted]
+    got = [(r["part"], r["stream"]) for r in store.layout(rows, max_residues=100, streams=4, rebalance=True).orderBy("s_id").collect()]
+    last = max(wanted) // 4
+    tail = [i for i, v in enumerate(wanted) if v // 4 == last]
+    size = sum(32 * (sum(lengths[i] + 1 for i in tail if wanted[i] == v) // 32 + 2) for v in {wanted[i] for i in tail})
+    even = dealt([lengths[i] for i in tail], (size - 1) // 4 + 1)
+    assert got == [(v // 4, v % 4) for v in wanted if v // 4 < last] + [(last, v) for v in even]
+    assert store.layout(rows.limit(0), max_residues=100).count() == 0
+
+
 def test_layout_and_lookup(spark):
     lengths = [5, 0, 7, 3, 40, 1]
     rows = spark.createDataFrame(list(enumerate(lengths)), "s_id long, s_len int")
     laid = store.layout(rows, max_residues=10, streams=2)
     got = laid.orderBy("s_id").collect()
     assert [r["s_offset"] for r in got] == [0, 6, 7, 15, 19, 60]
-    assert [(r["part"], r["stream"]) for r in got] == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (3, 0)]
+    assert [(r["part"], r["stream"]) for r in got] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
     space = store.search_space(store.stats(laid)).first()
-    assert space["slots"] == 62 and space["padded"] == 32 + 64 + 32
+    assert space["slots"] == 62 and space["padded"] == 32 + 32 + 32 + 64 + 32
     positions = spark.range(0, 62).select(F.col("id").alias("pos"))
     found = store.position_to_subject(positions, laid, width=8).orderBy("pos").collect()
     expected = [(i, k) for i, n in enumerate(lengths) for k in range(n + 1)]
@@ -86,17 +147,18 @@ def test_stores_keep_their_offsets(spark, tmp_path):
         store.build_db(rows, f"{tmp_path}/{name}", max_residues=20_000, rebalance=False)
         seen.append(sorted(map(tuple, store.open_db(spark, f"{tmp_path}/{name}").select("s_id", "s_len", "s_offset", "part", "stream").collect())))
     assert seen[0] == seen[1] and len(seen[0]) == n
+    wanted = filled([x[1] for x in seen[0]], 20_000)
     at = 0
-    for _, length, offset, part, stream in seen[0]:
-        assert (offset, part, stream) == (at, at // 320_000, at // 20_000 % 16)
+    for (_, length, offset, part, stream), volume in zip(seen[0], wanted, strict=True):
+        assert (offset, part, stream) == (at, volume // 16, volume % 16)
         at += length + 1
 
 
 def test_the_last_part_is_dealt_out(spark):
     rows = spark.createDataFrame([(i, 9) for i in range(100)], "s_id long, s_len int")
     got = [(r["part"], r["stream"]) for r in store.layout(rows, max_residues=200, streams=4, rebalance=True).orderBy("s_id").collect()]
-    # 80 sequences fill the first part's four volumes, the other 20 are dealt out to four
-    assert got == [(0, i // 20) for i in range(80)] + [(1, i // 5) for i in range(20)]
+    # 80 sequences fill the first part's four volumes; the other 20, of 256 padded slots, are dealt out by 64
+    assert got == [(0, i // 20) for i in range(80)] + [(1, i // 7) for i in range(20)]
 
 
 def test_missing_volumes_are_found(spark, tmp_path):

@@ -93,3 +93,35 @@ def test_positions_of_all_subjects(spark):
     got = {r["pos"]: (r["s_id"], r["s_pos"]) for r in store.position_to_subject(asked, laid).collect()}
     expected = {r["s_offset"] + p: (r["s_id"], p) for r in laid.collect() for p in {0, max(r["s_len"] - 1, 0), r["s_len"]}}
     assert got == expected
+
+
+def test_batches_are_cut_by_letters(monkeypatch):
+    import numpy as np
+    from seqsearch.operators.common import pieces
+
+    sizes = np.array([3, 3, 3, 50, 0, 0, 4, 6, 1])
+    assert list(pieces(sizes, 10, 100)) == [(0, 3), (3, 4), (4, 8), (8, 9)]
+    assert list(pieces(sizes, 1000, 4)) == [(0, 4), (4, 8), (8, 9)]
+    assert list(pieces(sizes[:0], 10, 4)) == []
+
+
+def test_long_queries_and_small_batches_give_the_same(spark, monkeypatch):
+    """Queries of 20,000 letters that a subject holds with changes; the same hits when few letters are aligned at a time."""
+    import random
+
+    from seqsearch.config import SearchConfig
+    from seqsearch.operators import align, voting
+    from seqsearch.plans.search import search
+
+    dice = random.Random(2)
+    text = "".join(dice.choices("ACDEFGHIKLMNPQRSTVWY", k=20_000))
+    other = text[:9_000] + "WW" + text[9_000:15_000] + text[15_003:]
+    queries = spark.createDataFrame([(i, f"q{i}", t, len(t)) for i, t in enumerate([text, text[5_000:], text[:300]])], "q_id long, q_name string, q_seq string, q_len int")
+    subjects = spark.createDataFrame([(0, "s0", other), (1, "s1", text), (2, "s2", text[::-1]), (3, "s3", None)], "s_id long, s_name string, s_seq string")
+    cfg = SearchConfig(min_score=200)
+    key = ("q_id", "s_id", "bin", "score", "q_begin", "q_end", "s_begin", "s_end", "gaps", "rank")
+    whole = sorted(tuple(r[k] for k in key) for r in search(queries, subjects, cfg).collect())
+    assert max(r[3] for r in whole) > 90_000 and any(r[8] for r in whole)
+    monkeypatch.setattr(align, "LETTERS", 25_000)
+    monkeypatch.setattr(voting, "TOGETHER", 25_000)
+    assert sorted(tuple(r[k] for k in key) for r in search(queries, subjects, cfg).collect()) == whole

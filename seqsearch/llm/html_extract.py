@@ -4,8 +4,8 @@ Markup is stripped into *lines*, one for each block of the page; what lies in me
 forms, scripts and styles leaves an empty line, and an article's borders leave a window of empty lines. A line's length is 0 if it is
 mostly links, or a few words that stand in a ``div`` by themselves. Lengths are summed over windows of ``WINDOW`` lines.
 From the densest window the text is followed up to its *surge* and down to its *dive*: the points behind which no line with
-a length comes within a window, nor, within ``REACH`` lines, a window with ``SURGE`` characters. All lines between are
-kept, and articles that reach into that are kept whole.
+a length comes within a window, nor, within ``REACH`` lines, a window with ``SURGE`` characters; labels don't count as lines
+there, however many they are. All lines between are kept, and articles that reach into that are kept whole.
 
 Markup helps in two ways only. Elements that are called advert, notice, comments or the like by class, id or role are left
 out, but never so that nothing is left: where they hold nearly all of the page, the largest is no such element. And
@@ -77,32 +77,35 @@ def _named_so(tag: str, attributes: str, inside: bool) -> bool:
 
 @dataclass
 class Line:
-    """A block: its text, the share of link text, the article that it stands in (0: none), the elements around it that names
-    would leave out (outermost first), and whether it is a first heading or stands in a ``div`` by itself."""
+    """A block: its text, the share of link text, the article that it stands in (0: none), the innermost element around it that
+    names would leave out (0: none), and whether it is a first heading or stands in a ``div`` by itself."""
 
     text: str
     links: float
     article: int
-    named: tuple[int, ...]
+    named: int
     heading: bool = False
     alone: bool = False
 
+    def label(self) -> bool:
+        return self.alone and 0 < len(self.text) < LABEL and self.links <= LINKS
+
     def length(self) -> int:
-        return 0 if self.links > LINKS or (self.alone and len(self.text) < LABEL) else len(self.text)
+        return 0 if self.links > LINKS or self.label() else len(self.text)
 
 
 class _Open:
     """The open elements, with where the last one of each name is: no start or end tag looks through them all."""
 
     def __init__(self) -> None:
-        self.items: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, skipped, article, named
+        self.items: list[tuple[str, bool, int, int]] = []  # name, skipped, article, named
         self.where: dict[str, list[int]] = {}
 
     def last(self, *names: str) -> int:
         """The place of the innermost open element of one of these names, -1 if there is none."""
         return max((at[-1] for n in names if (at := self.where.get(n))), default=-1)
 
-    def push(self, item: tuple[str, bool, int, tuple[int, ...]]) -> None:
+    def push(self, item: tuple[str, bool, int, int]) -> None:
         self.where.setdefault(item[0], []).append(len(self.items))
         self.items.append(item)
 
@@ -111,16 +114,18 @@ class _Open:
             self.where[name].pop()
         del self.items[n:]
 
-    def top(self) -> tuple[str, bool, int, tuple[int, ...]]:
-        return self.items[-1] if self.items else ("", False, 0, ())
+    def top(self) -> tuple[str, bool, int, int]:
+        return self.items[-1] if self.items else ("", False, 0, 0)
 
 
-def lines(page: str) -> list[Line]:
-    """A page's blocks in order; what is skipped, and an article's borders, give lines without text."""
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """A page's blocks in order; what is skipped, and an article's borders, give lines without text. And of each element that names
+    would leave out, counted from 1, the one around it: a parent comes before its children."""
     out: list[Line] = []
+    parents = [0]
     tags = _Open()
     text: list[str] = []
-    linked = links = articles = elements = 0
+    linked = links = articles = 0
 
     def flush() -> None:
         nonlocal linked
@@ -133,7 +138,7 @@ def lines(page: str) -> list[Line]:
         linked = 0
 
     def gap(n: int) -> None:
-        out.extend(Line("", 0.0, tags.top()[2], ()) for _ in range(n))
+        out.extend(Line("", 0.0, tags.top()[2], 0) for _ in range(n))
 
     def close(n: int) -> None:
         flush()
@@ -208,30 +213,30 @@ def lines(page: str) -> list[Line]:
                 articles += 1
                 article = article or articles
             if _named_so(tag, m[4], article > 0):
-                elements += 1
-                named = (*named, elements)
+                parents.append(named)
+                named = len(parents) - 1
         tags.push((tag, hides, article, named))
     flush()
-    return out
-
-
-def left(found: list[Line]) -> list[Line]:
-    """The lines with empty ones for what names leave out, if enough is left; else the largest such element counts as text."""
-    void: set[int] = set()
-    total = sum(len(x.text) for x in found)
-    while True:
-        kept = [x for x in found if x.text and not set(x.named) - void]
-        if any(x.article or x.heading for x in kept) or sum(len(x.text) for x in kept) >= LEAST * total:
-            break
-        sizes: dict[int, int] = {}
-        for x in found:
-            for e in x.named:
-                if e not in void:
-                    sizes[e] = sizes.get(e, 0) + len(x.text)
-        if not sizes:
+    return out, parents
+
+
+def left(found: list[Line], parents: list[int]) -> list[Line]:
+    """The lines with empty ones for what names leave out, if enough is left; else the largest such element counts as text, and so
+    on. An element is never larger than the one around it, so they count in one order, from the outside in."""
+    own, size, main = [0] * len(parents), [0] * len(parents), [False] * len(parents)
+    for x in found:
+        own[x.named] += len(x.text)
+        main[x.named] |= bool(x.text and (x.article or x.heading))
+    for e in range(len(parents) - 1, 0, -1):
+        size[e] += own[e]
+        size[parents[e]] += size[e]
+    least = LEAST * sum(own)
+    text, enough, counts = own[0], main[0], [True] + [False] * (len(parents) - 1)
+    for e in sorted(range(1, len(parents)), key=lambda e: (-size[e], e)):
+        if enough or text >= least:
             break
-        void.add(max(sizes, key=lambda e: (sizes[e], -e)))
-    return [x if not set(x.named) - void else Line("", 0.0, 0, ()) for x in found]
+        counts[e], text, enough = True, text + own[e], enough or main[e]
+    return [x if counts[x.named] else Line("", 0.0, 0, 0) for x in found]
 
 
 def densest(lengths: list[int], window: int = WINDOW) -> int:
@@ -264,11 +269,16 @@ def surge_and_dive(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     """The page's main text, a block a line; empty if there is none."""
-    found = left(lines(page or ""))
+    found = left(*lines(page or ""))
     lengths = [x.length() for x in found]
-    if not any(lengths):
+    if any(lengths):
+        # labels neither are text nor part it
+        told = [i for i, x in enumerate(found) if not x.label()]
+        first, end = surge_and_dive([lengths[i] for i in told])
+        first, end = told[first], told[end - 1] + 1
+    else:
         lengths = [len(x.text) for x in found]  # nothing but labels and links
-    first, end = surge_and_dive(lengths)
+        first, end = surge_and_dive(lengths)
     reached = {x.article for x, n in zip(found[first:end], lengths[first:end], strict=True) if x.article and n}
     return "\n".join(x.text for i, x in enumerate(found) if x.text and (first <= i < end or x.article in reached))
 

@@ -232,3 +232,35 @@ def test_pages(spark):
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", ARTICLE, "y"), (1, "u", ARTICLE, "y"), (2, "v", "<p>" + "word " * 200_000, "z")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_extract.extract(odd).collect()) == [0, 27, 27, 999_999]
     assert html_extract.extract(odd.where("false")).collect() == []
+
+
+def test_named_elements_count_from_the_outside_in():
+    """Nested and side by side: the largest count as text until enough is left, and only these."""
+    text = "word " * 50
+    page = f'<div class="sidebar"><p>{text}</p><div class="ad"><p>{text}{text}</p></div></div><div class="ad"><p>advert</p></div>'
+    assert html_extract.main_text(page) == "\n".join([text.strip(), (text + text).strip()])
+    article = f"<article><p>{text}</p></article>"
+    assert html_extract.main_text(page + article) == text.strip()
+    found, parents = html_extract.lines(page)
+    assert parents == [0, 0, 1, 0] and [x.named for x in found] == [1, 2, 3]
+
+
+def test_work_grows_with_named_elements():
+    import time
+
+    def seconds(n: int) -> float:
+        began = time.perf_counter()
+        assert html_extract.main_text('<div class="ad">' * n + "<p>x</p>" * n) == "\n".join("x" * n)
+        html_extract.main_text('<div class="ad"><p>x</p></div>' * n)
+        return time.perf_counter() - began
+
+    seconds(200)
+    assert seconds(6000) < 40 * max(seconds(600), 0.01)
+
+
+def test_labels_do_not_part_the_text():
+    text = ("word " * 60).strip()
+    page = f"<p>{text}</p>{'<div>x</div>' * 20}<p>{text}</p>"
+    assert html_extract.main_text(page) == "\n".join([text, *"x" * 20, text])
+    links = '<div><a href="#">elsewhere</a></div>' * 20
+    assert html_extract.main_text(f"<p>{text}</p>{links}<p>short one</p>") == text

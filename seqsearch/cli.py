@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from .config import SearchConfig
 from .plans.search import search
 from .sources.fasta import read_fasta, with_ids
 from .sources.sinks import write
-from .sources.store import MAX_RESIDUES, build_db, open_db, open_meta
+from .sources.store import build_db, of_part, open_db, open_meta, volume_size
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,8 +19,8 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("build-db", help="turn FASTA into a sequence store")
     b.add_argument("fasta")
     b.add_argument("out")
-    b.add_argument("--max-residues", type=int, default=MAX_RESIDUES, help="residues of a volume")
-    b.add_argument("--batch-gb", type=float, help="the same in units of 2 ** 30, at most 4")
+    b.add_argument("--max-residues", type=int, help="residues of a volume; else from the input's size and the executors' memory")
+    b.add_argument("--batch-gb", type=float, help="of a part of 16 volumes, in units of 2 ** 30")
     s = sub.add_parser("search", help="search queries against one or more stores", add_help=False)
     s.add_argument("--help", action="help", help="show this message")
     s.add_argument("-q", "--query", required=True)
@@ -50,13 +50,18 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqsearch").getOrCreate()
     if args.command == "build-db":
-        most = min(int(args.batch_gb * 2**30), 2**32 - 10_000) if args.batch_gb else args.max_residues
-        build_db(with_ids(read_fasta(spark, args.fasta, "db"), "s"), args.out, most)
+        found = with_ids(read_fasta(spark, args.fasta, "db"), "s")
+        size = int(str(spark.read.text(args.fasta)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        most = of_part(int(args.batch_gb * 2**30)) if args.batch_gb else args.max_residues or volume_size(spark, size)
+        build_db(found, args.out, most)
         return
     cfg = config(args)
     queries = with_ids(read_fasta(spark, args.query, "query"), "q")
-    hits = search(queries, open_db(spark, *args.db), cfg, open_meta(spark, *args.db))
+    counts: list[Observation] = []
+    hits = search(queries, open_db(spark, *args.db), cfg, open_meta(spark, *args.db), counts)
     write(hits, queries, args.outfmt, args.out)
+    for i, seen in enumerate(counts, 1):
+        print(f"group {i} of {len(counts)}: {seen.get['candidates']} candidates")
 
 
 if __name__ == "__main__":

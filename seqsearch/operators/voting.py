@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -67,7 +67,15 @@ def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, lengths
 
 
-def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str, group: int = GROUP) -> DataFrame:
+def _observed(found: DataFrame, counts: list[Observation] | None) -> DataFrame:
+    """Adds an observation of ``candidates``, the number of rows, to ``counts``: it is filled by the first run that reads them."""
+    if counts is None:
+        return found
+    counts.append(Observation(f"candidates-{len(counts)}"))
+    return found.observe(counts[-1], F.count(F.lit(1)).alias("candidates"))
+
+
+def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str, group: int = GROUP, counts: list[Observation] | None = None) -> DataFrame:
     """``what``: "hits", "votes" or "candidates" of the subjects against each group of queries."""
     source = spread(subjects.select("s_id", "s_seq", origin(cfg).alias("origin")))
     q_type, s_type = queries.schema["q_id"].dataType.simpleString(), subjects.schema["s_id"].dataType.simpleString()
@@ -106,7 +114,7 @@ def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str,
 
         return source.mapInArrow(run, columns)
 
-    made = [scan(rows) for rows in _groups(queries, cfg, group)]
+    made = [_observed(scan(rows), counts) for rows in _groups(queries, cfg, group)]
     if not made:
         return queries.sparkSession.createDataFrame([], T._parse_datatype_string(columns))
     return reduce(DataFrame.unionByName, made)
@@ -135,7 +143,11 @@ def votes(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFra
     return _scan(queries, subjects, cfg, "votes") if indexed(queries) else joined_votes(queries, subjects, cfg)
 
 
-def candidates(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
+def candidates(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, counts: list[Observation] | None = None) -> DataFrame:
     """Votes above the threshold of the query's length; with ``s_len`` and, where the index is used, the ``window`` of the
-    subject from ``begin`` on that the candidate's band can reach, so that subjects need not be joined again."""
-    return _scan(queries, subjects, cfg, "candidates") if indexed(queries) else joined_votes(queries, subjects, cfg).where(F.col("votes") >= _least(cfg))
+    subject from ``begin`` on that the candidate's band can reach, so that subjects need not be joined again.
+
+    ``counts`` gets an observation for each group of queries, with the number of its candidates before all filters."""
+    if indexed(queries):
+        return _scan(queries, subjects, cfg, "candidates", counts=counts)
+    return _observed(joined_votes(queries, subjects, cfg).where(F.col("votes") >= _least(cfg)), counts)

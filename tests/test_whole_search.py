@@ -125,3 +125,31 @@ def test_long_queries_and_small_batches_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(align, "LETTERS", 25_000)
     monkeypatch.setattr(voting, "TOGETHER", 25_000)
     assert sorted(tuple(r[k] for k in key) for r in search(queries, subjects, cfg).collect()) == whole
+
+
+def test_candidates_are_counted_by_group_as_the_search_runs(spark):
+    from seqsearch.config import SearchConfig
+    from seqsearch.operators import voting
+    from seqsearch.plans.search import search
+
+    queries, subjects, cfg = catalogue._queries(spark, SF), catalogue._subjects(spark, SF), SearchConfig()
+    counts = []
+    found = voting._scan(queries, subjects, cfg, "candidates", group=2_000, counts=counts)
+    by_query = {r["q_id"]: r["count"] for r in found.groupBy("q_id").count().collect()}
+    groups = [[r["q_id"] for r in rows] for rows in voting._groups(queries, cfg, 2_000)]
+    assert len(groups) > 2
+    assert [c.get["candidates"] for c in counts] == [sum(by_query.get(q, 0) for q in g) for g in groups]
+    # before all filters, and with the search's own run
+    counts = []
+    search(queries, subjects, SearchConfig(min_score=10**6), counts=counts).collect()
+    assert [c.get["candidates"] for c in counts] == [sum(by_query.values())]
+
+
+def test_volume_size(spark):
+    from seqsearch.sources import store
+
+    assert store.of_part(16 * 1000) == 1000 and store.of_part(16 * 1000 + 1) == 1001
+    assert store.of_part(1 << 60) == store.LONGEST == 2**32 - 10_000
+    assert store.volume_size(spark, 10) == 1_000_000
+    assert store.volume_size(spark, 40_000_000) == 40_000_000 // spark.sparkContext.defaultParallelism + 1
+    assert store.volume_size(spark, 1 << 50) == (1 << 30) // 16

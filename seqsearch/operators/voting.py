@@ -2,7 +2,8 @@
 
 Queries up to ``INDEXED`` letters are indexed by seeds, in groups of about ``GROUP`` letters, and the subjects are held
 against each group where they are read: a subject's votes are counted and filtered in the task that has the subject, so no
-seed, hit or vote is shuffled. Larger query sets are joined on the k-mer by shuffle; both ways give the same rows.
+seed, hit or vote is shuffled. Larger query sets are joined on the k-mer by shuffle, with frequent k-mers salted; both ways
+give the same rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import SearchConfig
 from ..functions.scoring import diagonal_bin, threshold
-from .common import pieces, spread
+from .common import cut, pieces, small, spread
 from .seedindex import SeedIndex
 from .seeds import seeds
 
@@ -27,6 +28,8 @@ from .seeds import seeds
 INDEXED = 64_000_000
 #: Letters of a group of queries: an index of about 16 bytes each, and a table of at most 60 MB, in each worker.
 GROUP = 2_000_000
+#: Places of one k-mer in the queries that meet the subjects in one task, and k-mers with more that are broadcast at most.
+HOT, BROADCAST_HOT = 10_000, 1_000_000
 #: Letters of subjects, and subjects, that are looked at together: about 10 bytes a letter.
 TOGETHER, SUBJECTS = 1 << 22, 1024
 
@@ -120,12 +123,28 @@ def _scan(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, what: str,
     return reduce(DataFrame.unionByName, made)
 
 
-def joined_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """``seed_hits`` as an inner equi-join on the k-mer, for query sets of any size."""
+def salted(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Adds ``salt`` to ``kmer, ...``: a k-mer with more than ``most`` places is dealt out to so many salts that each has about
+    ``most``. And ``kmer, salts`` of these k-mers, of which there are at most one for each ``most`` places."""
+    hot = postings.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("kmer", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    hot = cut(hot, "hot-kmers")
+    salts = F.coalesce("salts", F.lit(1))
+    return postings.join(small(hot, BROADCAST_HOT), "kmer", "left").withColumn("salt", F.pmod(F.xxhash64("q_id", "q_pos"), salts).cast("int")).drop("salts"), hot
+
+
+def joined_hits(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig, most: int = HOT) -> DataFrame:
+    """``seed_hits`` as an inner equi-join on the k-mer, for query sets of any size.
+
+    A k-mer that very many queries share would bring all its places into one task; its places are dealt out to salts, and
+    only the subjects' places of such k-mers are repeated, once for each. A k-mer that is frequent among the subjects
+    is split by Spark as a skewed partition.
+    """
     of_q = seeds(queries, "q_id", "q_seq", cfg.k, ("q_len",), cfg.keep_illegal_seeds, cfg.blank_tail_a).withColumnRenamed("pos", "q_pos")
     of_s = seeds(spread(subjects.select("s_id", "s_seq", origin(cfg).alias("origin"))), "s_id", "s_seq", cfg.k, ("origin",), cfg.keep_illegal_seeds, False)
     of_s = of_s.select("s_id", "kmer", (F.col("pos") + F.col("origin")).alias("s_pos"))
-    return of_s.join(of_q, "kmer").select("q_id", "q_len", "q_pos", "s_id", "s_pos")
+    of_q, hot = salted(of_q, most)
+    of_s = of_s.join(small(hot, BROADCAST_HOT), "kmer", "left").select("s_id", "kmer", "s_pos", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return of_s.join(of_q, ["kmer", "salt"]).select("q_id", "q_len", "q_pos", "s_id", "s_pos")
 
 
 def joined_votes(queries: DataFrame, subjects: DataFrame, cfg: SearchConfig) -> DataFrame:

@@ -153,3 +153,20 @@ def test_volume_size(spark):
     assert store.volume_size(spark, 10) == 1_000_000
     assert store.volume_size(spark, 40_000_000) == 40_000_000 // spark.sparkContext.defaultParallelism + 1
     assert store.volume_size(spark, 1 << 50) == (1 << 30) // 16
+
+
+def test_frequent_kmers_are_salted(spark):
+    """A passage in all queries: its k-mers are dealt out, and the hits are those of the index, none twice."""
+    from seqsearch.config import SearchConfig
+    from seqsearch.operators import seeds, voting
+
+    cfg = SearchConfig()
+    common = "MKVLAWGHEYRRND"
+    queries = spark.createDataFrame([(i, common + "ACDEFGHIKL"[i % 10] * 3 + common, 0) for i in range(60)], "q_id long, q_seq string, q_len int").withColumn("q_len", F.length("q_seq"))
+    subjects = spark.createDataFrame([(1, "WW" + common), (2, common * 3), (3, "ACDEF"), (4, None), (5, "")], "s_id long, s_seq string")
+    of_q = seeds.seeds(queries, "q_id", "q_seq", cfg.k).withColumnRenamed("pos", "q_pos")
+    dealt, hot = voting.salted(of_q, 25)
+    assert hot.count() == len(common) - cfg.k + 1 and {r["salts"] for r in hot.collect()} == {5}
+    assert dealt.count() == of_q.count() and dealt.groupBy("kmer", "salt").count().agg(F.max("count")).first()[0] < 60
+    joined = sorted(map(tuple, voting.joined_hits(queries, subjects, cfg, 25).collect()))
+    assert joined == sorted(map(tuple, voting._scan(queries, subjects, cfg, "hits").collect())) and len(joined) > 1000

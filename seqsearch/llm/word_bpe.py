@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_NAMES, Held, as_bytes, buffers, by_size, load, plain_words
-from .common import Blob, open_fs, parts_for, scratch, tidy
+from .common import Blob, let_go, open_fs, parts_for, scratch, tidy
 from .token_counts import load_once
 
 #: Bytes of texts in a block; a longer text is a block of its own.
 BLOCK = 8 << 20
+#: Bytes of a block's texts that are split, and put together, at a time.
+SLICE = 1 << 20
 #: Bytes of texts, as they are stored, for each task that encodes words.
 PART = 16 << 20
 #: Bytes of words and ids that such a task holds; far more than a part has.
@@ -61,13 +63,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[
 
 def split(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of texts: how many words each has, the words' codes, and the distinct words. Nulls have none."""
-    column = pc.fill_null(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0), "")
-    lists = pc.ascii_split_whitespace(column)
-    every, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    some = pc.not_equal(pc.binary_length(every), 0)
-    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
-    coded = every.filter(some).dictionary_encode()
-    return np.diff(before[ends - ends[0]]), coded.indices.to_numpy(), coded.dictionary
+    counts, found = [], []
+    for rows in blocks(iter(pa.table({"text": texts}).to_batches()), 0, SLICE):
+        lists = pc.ascii_split_whitespace(pc.fill_null(rows.column(0).combine_chunks(), ""))
+        every, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        some = pc.not_equal(pc.binary_length(every), 0)
+        before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        counts.append(np.diff(before[ends - ends[0]]))
+        found.append(every.filter(some))
+    coded = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+    return np.concatenate([*counts, np.empty(0, np.int64)]), coded.indices.to_numpy(), coded.dictionary
 
 
 def digest(words: pa.Array) -> bytes:
@@ -266,8 +271,10 @@ def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool
     pieces = piece_table(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoder.cache_clear()  # a worker that has encoded words needs no tokenizer to put texts together
-        load_once.cache_clear()
+        if _encoder.cache_info().currsize or load_once.cache_info().currsize:
+            _encoder.cache_clear()  # a worker that has encoded words needs no tokenizer to put texts together
+            load_once.cache_clear()
+            let_go()
         for rows in blocks(batches, 1, block):
             n_words, codes, words = split(rows.column(1))
             found = find_block(out, unit, mark, words, parts) if len(words) else (np.empty(0, "<u4"), np.empty(0, "<u4"))
@@ -276,17 +283,23 @@ def _assemble(source: DataFrame, out: str, path: str, parts: int, with_ids: bool
                 found = np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), "<u4")
             sizes, of_words = found
             lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.array(of_words))
-            every = lists.take(pa.array(codes)).flatten()
-            ends = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n_words)])]
-            texts = decode_ids(pieces, pa.LargeListArray.from_arrays(ends, every))
-            blob, at = memoryview(every.to_numpy()).cast("B") if len(every) else b"", (ends * 4).tolist()
-            ids_sha = [hashlib.sha256(blob[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
-            columns = [rows.column(0).combine_chunks(), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.ListArray.from_arrays(ends.astype(np.int32), every.cast(pa.int32()))]
-                names += ["ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            before, at = np.concatenate([[0], np.cumsum(n_words)]), 0
+            for some in blocks(iter(rows.to_batches()), 1, SLICE):
+                words_at = before[at : at + some.num_rows + 1]
+                own = codes[words_at[0] : words_at[-1]]
+                yield assembled(some.column(0).combine_chunks(), lists.take(pa.array(own)).flatten(), np.concatenate([[0], np.cumsum(sizes[own], dtype=np.int64)])[words_at - words_at[0]])
+                at += some.num_rows
+
+    def assembled(row_ids: pa.Array, every: pa.Array, ends: np.ndarray) -> pa.RecordBatch:
+        texts = decode_ids(pieces, pa.LargeListArray.from_arrays(ends, every))
+        blob, at = memoryview(every.to_numpy()).cast("B") if len(every) else b"", (ends * 4).tolist()
+        ids_sha = [hashlib.sha256(blob[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+        columns = [row_ids, pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())]
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns += [pa.ListArray.from_arrays(ends.astype(np.int32), every.cast(pa.int32()))]
+            names += ["ids"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

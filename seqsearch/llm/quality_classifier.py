@@ -103,9 +103,10 @@ def unpacked(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def weigh(counts: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
-    """Shares of shapes and of words, square roots taken, times idf, each part and then the whole of length 1; empty rows stay 0."""
-    out = np.empty(counts.shape, np.float32)
+def weigh(counts: np.ndarray, idf: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Shares of shapes and of words, square roots taken, times idf, each part and then the whole of length 1; empty rows stay 0.
+    ``out`` may be ``counts`` itself."""
+    out = np.empty(counts.shape, np.float32) if out is None else out
     for at in range(0, len(counts), 256):
         for part in (slice(0, _SHAPES), slice(_SHAPES, TERMS)):
             own = counts[at : at + 256, part]
@@ -118,21 +119,24 @@ def weigh(counts: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
 
 
 class Model:
-    """idf, projection, and the sample's latent vectors with their labels."""
+    """idf, projection, and the sample's latent vectors with their labels. With ``reuse`` the counts are overwritten."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, reuse: bool = False):
         n = len(counts)
         self.base = float(labels.mean()) if n else 0.5
         self.idf = (1 + np.log((1 + n) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)
-        x = weigh(counts, self.idf)
+        x = weigh(counts, self.idf, counts if reuse else None)
         q = np.random.Generator(np.random.PCG64(5)).standard_normal((TERMS, DIMS)).astype(np.float32)
         for _ in range(8):
             q, _ = np.linalg.qr(x.T @ (x @ q)) if n else (q, None)
         self.projection = q.astype(np.float32)
-        self.vectors, self.labels = self.latent(counts), labels.astype(np.float32)
+        self.vectors, self.labels = self._placed(x), labels.astype(np.float32)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        y = weigh(counts, self.idf) @ self.projection
+        return self._placed(weigh(counts, self.idf))
+
+    def _placed(self, x: np.ndarray) -> np.ndarray:
+        y = x @ self.projection
         return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -175,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, label int, terms binary")
     # of rows that repeat an id one counts, whatever the order they come in, so the sample is of different documents
     rows = sorted((r["id"], r["label"], bytes(r["terms"])) for r in made.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).collect())
-    counts = unpacked([r[2] for r in rows])
-    return Model(counts, np.array([r[1] for r in rows], np.float32))
+    return Model(unpacked([r[2] for r in rows]), np.array([r[1] for r in rows], np.float32), reuse=True)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3, keep: bool = False) -> DataFrame:

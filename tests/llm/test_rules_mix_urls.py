@@ -54,6 +54,18 @@ def test_base_counts(spark):
     assert got == Counter((r["doc_id"], *base(r["text"])) for r in docs.collect())
 
 
+def test_kept_rows_are_not_written(spark):
+    """The stage writes its patterns of votes, not the texts that it keeps."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    files = lambda: {f: os.path.getsize(f) for f in glob.glob(f"{folder}/seqsearch/rule-*/*.parquet")}
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), files()
+    kept = quality_rules.keep_good(docs)
+    want = quality_rules.quality_rules(docs.where("text is not null")).where("kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in want.collect())
+    assert 0 < sum(n for f, n in files().items() if f not in before) < 50_000 < docs.selectExpr("sum(length(text))").first()[0]
+    assert sum(f.startswith("text") for f in kept.columns) == 1 and str(kept._jdf.queryExecution().optimizedPlan()).count("regexp_replace") == 1
+
+
 def test_estimation_is_the_plain_one(spark):
     k = len(quality_rules.RULES)
     counts = {p.ljust(k, "2"): n for p, n in {"22222222": 900, "02222222": 40, "20222222": 30, "22221222": 50, "12121212": 7, "11111111": 5, "00220222": 4}.items()}

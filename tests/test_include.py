@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from seqsearch.config import SearchConfig
-from seqsearch.operators.include import count_matches, includes, java_pattern
+from seqsearch.operators.include import before_alignment, count_matches, includes, java_pattern
 
 TEXTS = ["AAAB", "", "BBB", "ARGWWHRAAAAH", "RAAAAHRAAAAAH", "A_B", "A*B*", "AB" * 40, "XAAX", None]
 
@@ -52,3 +52,20 @@ def test_brackets_hold_what_they_say(spark):
     row = spark.createDataFrame([("a[b&&c^]d",)], "t string")
     assert row.select(count_matches(F.col("t"), "[a[b&^]", 99)).first()[0] == 6
     assert row.select(count_matches(F.col("t"), "[[:alpha:]]", 99)).first()[0] == 4
+
+
+@pytest.mark.parametrize("expression", ["A", "R[A-Z]{4,7}H", "AB?", "(AB)+", "A+B|A", "(?:A|AA)B", "(A)B|B\\1", "[*_]", "^A", "A*"])
+def test_enough_matches(spark, expression):
+    """The filter says what a count of the matches says, and doesn't give a match up to find others."""
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "AAB", "AAAB\nAB", "RAAAAHRAAAAH"])], "i int, t string").orderBy("i")
+    for times in (1, 2, 3):
+        made = [tuple(r) for r in table.select(includes(F.col("t"), ((expression, times),)), count_matches(F.col("t"), expression, times)).collect()]
+        assert [m for m, _ in made] == [None if n is None else n >= times for _, n in made], (expression, times)
+
+
+def test_filter_stops_at_the_last_match_asked_for(spark):
+    """Windows are neither rewritten letter by letter nor searched to their ends."""
+    plan = spark.createDataFrame([("AB",)], "t string").where(includes(before_alignment(F.col("t")), (("T[A-Z]{1,3}E", 2),)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "RLIKE" in plan
+    texts = spark.createDataFrame([("A*B",), ("AB",), ("**",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(before_alignment(F.col("t"))).collect()] == ["A_B", "AB", "__", "", None]

@@ -257,3 +257,18 @@ def test_stream_finds_what_a_batch_finds(spark, built, tmp_path):
     assert key(found[0]) == key(batch) and len(batch) >= 2
     with pytest.raises(ValueError):
         search_files(spark, str(folder), queries, SearchConfig(), print, str(tmp_path / "ck2"))
+
+
+def test_offsets_of_many_ranges(spark):
+    """Ranges of ids that are as many as a large session has, ids of which some are null; read twice, once for their totals."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        df = spark.range(3000).selectExpr("if(id < 3, null, id * 7) as s_id", "cast(id % 50 as int) as s_len").repartition(5)
+        rows = sorted(store.offsets(df, "s_id", "s_len").collect(), key=lambda r: r["s_offset"])
+        plan = store.offsets(df, "s_id", "s_len")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r["s_id"] for r in rows] == [None] * 3 + [7 * i for i in range(3, 3000)]
+    assert all(a["s_offset"] + a["s_len"] + 1 == b["s_offset"] for a, b in zip(rows, rows[1:], strict=False)) and rows[0]["s_offset"] == 0
+    assert "Join" not in plan

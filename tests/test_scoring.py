@@ -55,3 +55,12 @@ def test_config_is_validated():
         with pytest.raises(ValueError):
             SearchConfig(**bad)
     assert math.isclose(SearchConfig().max_evalue, 10)
+
+
+def test_six_digits_are_made_for_distinct_values(spark):
+    import pyarrow as pa
+
+    values = pa.array([0.5, None, -0.0, 0.5, 1e-7, float("inf")] * 50)
+    assert scoring._six_digits(values).to_pylist() == ["0.5", None, "0", "0.5", "1e-07", "inf"] * 50
+    plan = spark.range(2).selectExpr("cast(id as double) v", "cast(id as double) / 3 w").select(scoring.six_digits("v"), scoring.six_digits("w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "format_string" not in plan
